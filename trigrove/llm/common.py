@@ -48,18 +48,23 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def numbered(df: DataFrame, group: list[str], hashed: Column, ties: list[str], out: str, buckets: int = 1024) -> DataFrame:
-    """Gapless numbers from 0 in each group (no nulls in ``group``), in the order of a 64-bit hash.
+def running_total(df: DataFrame, group: list[str], hashed: Column, ties: list[str], value: Column, out: str, buckets: int = 1024) -> DataFrame:
+    """Running sums of ``value`` in each group (no nulls in ``group``), in the order of a 64-bit hash, own value included.
 
-    The hash range is cut into ``buckets`` equal parts: counts per part give each part's offset, and only the
-    rows of one part are ever sorted together. A group with a third of all rows is spread over all its parts.
+    The hash range is cut into ``buckets`` equal parts: sums per part give each part's offset, and only the rows
+    of one part are ever sorted together. A group with a third of all rows is spread over all its parts.
     ``df`` is evaluated twice, so it must be cheap or materialized.
     """
     bits = buckets.bit_length() - 1
-    parts = df.withColumn("_h", hashed).withColumn("_b", F.shiftrightunsigned("_h", 64 - bits).cast("int"))
-    counts = parts.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    parts = df.withColumn("_h", hashed).withColumn("_v", value.cast("long")).withColumn("_b", F.shiftrightunsigned("_h", 64 - bits).cast("int"))
+    sums = parts.groupBy(*group, "_b").agg(F.sum("_v").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*group, "_b").orderBy("_h", *ties)
-    ranked = parts.withColumn("_r", F.row_number().over(inside))
-    return ranked.join(offsets, [*group, "_b"]).withColumn(out, F.col("_off") + F.col("_r") - 1).drop("_h", "_b", "_r", "_off")
+    offsets = sums.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*group, "_b").orderBy("_h", *ties).rowsBetween(Window.unboundedPreceding, 0)
+    summed = parts.withColumn("_r", F.sum("_v").over(inside))
+    return summed.join(offsets, [*group, "_b"]).withColumn(out, F.col("_off") + F.col("_r")).drop("_h", "_v", "_b", "_r", "_off")
+
+
+def numbered(df: DataFrame, group: list[str], hashed: Column, ties: list[str], out: str, buckets: int = 1024) -> DataFrame:
+    """Gapless numbers from 0 in each group, in the order of a 64-bit hash; see ``running_total``."""
+    return running_total(df, group, hashed, ties, F.lit(1), out, buckets).withColumn(out, F.col(out) - 1)

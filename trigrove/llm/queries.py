@@ -2,7 +2,12 @@
 
 from trigrove.llm.op2_url_filter import SQL as SQL2
 from trigrove.llm.op2_url_filter import op2_url_filter
+from trigrove.llm.op5_mixing import SQL as SQL5
+from trigrove.llm.op5_mixing import op5_mixing
+from trigrove.llm.op7_sharding import op7_sharding
 from trigrove.llm.op8_simhash import op8_simhash
+from trigrove.llm.op9_packing import op9_packing
+from trigrove.llm.op10_suffix_array import op10_suffix_array
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op8_simhash)}
-ORACLES = {"op2_url_filter": SQL2}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op5_mixing, op7_sharding, op8_simhash, op9_packing, op10_suffix_array)}
+ORACLES = {"op2_url_filter": SQL2, "op5_mixing": SQL5}
