@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -68,3 +69,48 @@ def running_total(df: DataFrame, group: list[str], hashed: Column, ties: list[st
 def numbered(df: DataFrame, group: list[str], hashed: Column, ties: list[str], out: str, buckets: int = 1024) -> DataFrame:
     """Gapless numbers from 0 in each group, in the order of a 64-bit hash; see ``running_total``."""
     return running_total(df, group, hashed, ties, F.lit(1), out, buckets).withColumn(out, F.col(out) - 1)
+
+
+BLOOM_WORDS, BLOOM_BLOCKS = 8, 1 << 17
+
+
+def bloom_block(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+
+
+def bloom_masks(key: Column) -> list[Column]:
+    """For each of a block's eight 64-bit words, the one bit that a key sets there."""
+    bits = F.xxhash64(key, F.lit("bits"))
+    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(bits, 6 * i).bitwiseAND(63).cast("int")) for i in range(BLOOM_WORDS)]
+
+
+def bloom_size(n: int, bits_per_key: int = 16) -> int:
+    """Blocks of 512 bits for ``n`` keys, a power of two."""
+    return 1 << max(4, math.ceil(math.log2(max(1, n) * bits_per_key / 512)))
+
+
+def bloom_blocks(keys: DataFrame, key: str, blocks: int) -> DataFrame:
+    """A blocked Bloom filter as a table ``(block, w0..w7)``, one 512-bit block per row, pre-aggregated before the shuffle."""
+    masks = keys.select(bloom_block(F.col(key), blocks).alias("block"), *[m.alias(f"w{i}") for i, m in enumerate(bloom_masks(F.col(key)))])
+    return masks.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(BLOOM_WORDS)])
+
+
+def bloom_has(key: Column) -> Column:
+    """Whether a block's words, joined to the row, hold all bits of the key."""
+    inside = None
+    for i, mask in enumerate(bloom_masks(key)):
+        test = F.col(f"w{i}").bitwiseAND(mask) != 0
+        inside = test if inside is None else inside & test
+    return inside & key.isNotNull()
+
+
+def only_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``df`` left-semi ``keys`` on ``key``, with a Bloom filter that drops most other rows before they are shuffled.
+
+    The filter has at most BLOOM_BLOCKS blocks (8 MB), whatever the number of keys is, so it can be broadcast;
+    with very many keys it lets more rows through to the join, which is exact. ``keys`` is evaluated three times.
+    """
+    blocks = min(BLOOM_BLOCKS, bloom_size(keys.count()))
+    bloom = F.broadcast(bloom_blocks(keys, key, blocks))
+    met = df.withColumn("block", bloom_block(F.col(key), blocks)).join(bloom, "block").where(bloom_has(F.col(key)))
+    return met.select(df.columns).join(keys.select(key), key, "left_semi")

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import table
+from trigrove.llm.common import BLOOM_WORDS, bloom_block, bloom_blocks, bloom_has, bloom_size, table
 
 #: (verdict, host, path), as the contract of the query fixes them.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORDS, PROBES = 8, 8
 BROADCAST_BYTES = 8 << 20
 
 
@@ -46,22 +43,6 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return found.otherwise(F.lit(None)) if found is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def _block(url: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(url), F.lit(blocks)).cast("int")
-
-
-def _word_masks(url: Column) -> list[Column]:
-    """For each 64-bit word of a block, the bits that a url sets there: one bit in each of the eight words."""
-    bits = F.xxhash64(url, F.lit("bits"))
-    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(bits, 6 * i).bitwiseAND(63).cast("int")) for i in range(WORDS)]
-
-
-def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
-    """``listed(canonical)`` -> ``(block, w0..w7)``: one 512-bit block per row; pre-aggregated before the shuffle."""
-    masks = listed.select(_block(F.col("canonical"), blocks).alias("block"), *[m.alias(f"w{i}") for i, m in enumerate(_word_masks(F.col("canonical")))])
-    return masks.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
-
-
 def url_filter(pages: DataFrame, listed_urls: DataFrame, rules=RULES, bits_per_url: int = 16) -> DataFrame:
     """Judge ``pages(page_id, url, ...)`` against rules and the list ``listed_urls(url)``.
 
@@ -75,18 +56,14 @@ def url_filter(pages: DataFrame, listed_urls: DataFrame, rules=RULES, bits_per_u
     """
     listed = listed_urls.select(canonical(F.col("url")).alias("canonical")).where("canonical is not null").distinct()
     n = listed.count()
-    blocks = 1 << max(4, math.ceil(math.log2(max(1, n) * bits_per_url / 512)))
-    bloom = bloom_blocks(listed, blocks)
-    if blocks * (8 * WORDS + 16) <= BROADCAST_BYTES:
+    blocks = bloom_size(n, bits_per_url)
+    bloom = bloom_blocks(listed, "canonical", blocks)
+    if blocks * (8 * BLOOM_WORDS + 16) <= BROADCAST_BYTES:
         bloom = F.broadcast(bloom)
     url = F.col("url")
     judged = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canonical"))
-    judged = judged.withColumn("_r", rule_for(F.col("host"), F.col("path"), rules)).withColumn("block", _block(F.col("canonical"), blocks))
-    inside = None
-    for i, mask in enumerate(_word_masks(F.col("canonical"))):
-        test = F.col(f"w{i}").bitwiseAND(mask) != 0
-        inside = test if inside is None else inside & test
-    judged = judged.join(bloom, "block", "left").withColumn("possible", F.coalesce(inside & F.col("canonical").isNotNull(), F.lit(False)))
+    judged = judged.withColumn("_r", rule_for(F.col("host"), F.col("path"), rules)).withColumn("block", bloom_block(F.col("canonical"), blocks))
+    judged = judged.join(bloom, "block", "left").withColumn("possible", F.coalesce(bloom_has(F.col("canonical")), F.lit(False)))
     # Only possible hits carry a join key; the others have a null key, which no row of the list matches.
     probe = judged.withColumn("_key", F.when(F.col("possible"), F.col("canonical")))
     exact = listed.select(F.col("canonical").alias("_key"), F.lit(True).alias("_listed"))
