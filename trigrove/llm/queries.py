@@ -3,6 +3,7 @@
 from trigrove.llm.op1_substring import op1_substring
 from trigrove.llm.op2_url_filter import SQL as SQL2
 from trigrove.llm.op2_url_filter import op2_url_filter
+from trigrove.llm.op3_media import op3_media
 from trigrove.llm.op4_quality import op4_quality
 from trigrove.llm.op5_mixing import SQL as SQL5
 from trigrove.llm.op5_mixing import op5_mixing
@@ -12,5 +13,5 @@ from trigrove.llm.op8_simhash import op8_simhash
 from trigrove.llm.op9_packing import op9_packing
 from trigrove.llm.op10_suffix_array import op10_suffix_array
 
-QUERIES = {f.__name__: f for f in (op1_substring, op2_url_filter, op4_quality, op5_mixing, op6_ann, op7_sharding, op8_simhash, op9_packing, op10_suffix_array)}
+QUERIES = {f.__name__: f for f in (op1_substring, op2_url_filter, op3_media, op4_quality, op5_mixing, op6_ann, op7_sharding, op8_simhash, op9_packing, op10_suffix_array)}
 ORACLES = {"op2_url_filter": SQL2, "op5_mixing": SQL5}
