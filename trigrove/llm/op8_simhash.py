@@ -9,6 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from trigrove.llm.common import materialize, table
 from trigrove.llm.components import connected_components
@@ -130,7 +131,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
     nameless = docs.where("doc_id is null")
     lone = parts.where("component_id is null").select("fingerprint").distinct()
-    schema = nameless.schema.add("_fp", "long")
+    schema = StructType([*nameless.schema.fields, StructField("_fp", LongType())])
 
     def run(batches):
         for pdf in batches:
