@@ -10,13 +10,18 @@ from trigrove.functions import text as tx
 SPLIT = "[和与及、]"
 
 
+def _once(df: DataFrame, **columns) -> DataFrame:
+    """Replace columns by way of a generator, so that each long expression is evaluated once, however often a later filter names its result."""
+    keep = [c for c in df.columns if c not in columns]
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))).select(df.columns)
+
+
 def _cleaned(df: DataFrame) -> DataFrame:
     """Names cleaned and normalised, relation trimmed."""
-    e2 = tx.clean_entity(F.col("e2"))
-    e2 = tx.trim(F.regexp_replace(e2, rf"^(?:[了着过]{tx.SPACE}*)+", ""))
-    e2 = tx.trim(F.regexp_replace(e2, tx.TAIL, ""))
-    step = df.withColumns({"e1": tx.clean_entity(F.col("e1")), "rel": tx.trim(F.col("rel")), "e2": e2})
-    return step.withColumns({"e1": tx.normalize_entity(F.col("e1")), "e2": tx.normalize_entity_e2(F.col("e2"))})
+    step = _once(df, e1=tx.clean_entity(F.col("e1")), rel=tx.trim(F.col("rel")), e2=tx.clean_entity(F.col("e2")))
+    e2 = tx.trim(F.regexp_replace("e2", rf"^(?:[了着过]{tx.SPACE}*)+", ""))
+    step = _once(step, e2=tx.trim(F.regexp_replace(e2, tx.TAIL, "")))
+    return _once(step, e1=tx.normalize_entity(F.col("e1")), e2=tx.normalize_entity_e2(F.col("e2")))
 
 
 def _fault():

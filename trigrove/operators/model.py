@@ -69,7 +69,7 @@ def raw_model_triples(df: DataFrame, response: str = "response") -> DataFrame:
     three = r'\[\s*"([^"]*)"\s*,\s*"([^"]*)"\s*,\s*"([^"]*)"\s*\]'
     loose = F.transform(F.regexp_extract_all(response, F.lit(three), F.lit(0)), lambda i: F.from_json(i, "array<string>"))
     rows = df.select(*keep, F.posexplode(F.coalesce(items, loose)).alias("item", "t")).where("size(t) = 3")
-    out = rows.select(*keep, "item", F.col("t")[0].alias("e1"), F.col("t")[1].alias("rel"), F.col("t")[2].alias("e2"))
+    out = rows.select(*keep, "item", F.get("t", 0).alias("e1"), F.get("t", 1).alias("rel"), F.get("t", 2).alias("e2"))
     return out.where("e1 is not null and rel is not null and e2 is not null")
 
 

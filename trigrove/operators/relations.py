@@ -48,7 +48,7 @@ def _pairs(mentions: DataFrame, sentences: DataFrame, how) -> DataFrame:
     side = lambda p: mentions.select(*SENT, *[F.col(c).alias(f"{p}_{c}") for c in ("m_idx", "text", "etype", "start", "end")])
     met = side("a").join(side("b"), SENT).where(how & (F.col("a_end") <= F.col("b_start")))
     met = met.join(sentences.select(*SENT, "sent_text"), SENT)
-    return met.withColumn("between", F.substring("sent_text", F.col("a_end") + 1, F.col("b_start") - F.col("a_end")))
+    return met.withColumn("between", F.col("sent_text").substr(F.col("a_end") + 1, F.col("b_start") - F.col("a_end")))
 
 
 def _found(rows: DataFrame, rel: Column, technique: str) -> DataFrame:
@@ -77,8 +77,8 @@ def typed_template_pairs(mentions: DataFrame, sentences: DataFrame) -> DataFrame
     """
     rows = _pairs(mentions, sentences, F.col("a_m_idx") != F.col("b_m_idx")).where(~F.col("between").rlike("[。！？；;]"))
     whole = F.concat("between", "b_text")
-    at = F.locate(F.col("b_text"), whole)
-    rows = rows.withColumn("mid", F.substring(whole, F.lit(1), at - 1)).withColumn("allowed", _compat(F.col("a_etype"), F.col("b_etype"))).where("mid != ''")
+    at = F.expr("locate(b_text, concat(between, b_text))")
+    rows = rows.withColumn("mid", whole.substr(F.lit(1), at - 1)).withColumn("allowed", _compat(F.col("a_etype"), F.col("b_etype"))).where("mid != ''")
     tests = []
     for k, (words, rel, one, two) in enumerate(lx.PAIR_TEMPLATES):
         test = F.array_contains("allowed", rel) & reduce(lambda x, y: x | y, [F.contains("mid", F.lit(w)) for w in words])

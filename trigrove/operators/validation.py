@@ -37,7 +37,7 @@ def apply_verdicts(triples: DataFrame, verdicts: DataFrame) -> DataFrame:
     met = triples.join(v, ["batch_id", "idx"], "left")
     fixed = (~F.col("valid")) & (F.size("correction") == 3)
     kept = met.where(F.col("valid").isNull() | F.col("valid") | fixed)
-    part = lambda k, c: F.when(fixed, F.col("correction")[k]).otherwise(F.col(c)).alias(c)
+    part = lambda k, c: F.when(fixed, F.get("correction", k)).otherwise(F.col(c)).alias(c)
     at = F.struct(F.when(F.col("pos").isNull(), 1).otherwise(0).alias("late"), F.coalesce("pos", "idx").alias("n"))
     rows = kept.select("batch_id", part(0, "e1"), part(1, "rel"), part(2, "e2"), at.alias("at"))
     return rows.groupBy("batch_id", "e1", "rel", "e2").agg(F.min("at").alias("at"))
