@@ -132,7 +132,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score ``at`` or more."""
     model = train(docs, labels)
-    return scored(docs, model, docs.columns).where(F.col("_score") >= at).select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return scored(rows, model, ["row"]).where(F.col("_score") >= at).select("row.*")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

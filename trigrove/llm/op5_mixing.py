@@ -101,11 +101,10 @@ def mix(docs: DataFrame, percent: int = 50, epochs: int = 4, seed: str = "mix")
 def mixed(docs: DataFrame, percent: int = 90, epochs: int = 1, seed: str = "mix") -> DataFrame:
     """The chosen rows of ``docs`` themselves, each as often as it was chosen. Rows equal in doc_id and text share one set of other columns."""
     chosen = _selected(materialize(leaves_of(docs)), percent, epochs, seed).groupBy("doc_id", "key").agg(F.sum("copies").cast("int").alias("_copies"))
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_copies")
-    own = docs.withColumn("_key0", text_key(F.col("text")))
-    met = own.join(chosen, (F.col("_key0") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    once = met.dropDuplicates(["_key0", "_id"])
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"))
+    met = own.alias("d").join(chosen.alias("c"), (F.col("d.key") == F.col("c.key")) & F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))).select("row", "d.doc_id", "d.key", "_copies")
+    once = met.dropDuplicates(["key", "doc_id"])
+    return once.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

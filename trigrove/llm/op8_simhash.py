@@ -9,9 +9,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from trigrove.llm.common import materialize, table
+from trigrove.llm.common import materialize, table, text_batches, text_key
 from trigrove.llm.components import connected_components
 
 SEED, CHUNK = 42, 1 << 15
@@ -45,6 +44,8 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """``(doc_id, text)`` -> ``(doc_id, fp)``; fp is the fingerprint as a signed long."""
 
+    text_batches(docs.sparkSession)
+
     def run(batches):
         for pdf in batches:
             fps = np.array([fingerprint(t, width) for t in pdf["text"]], dtype=np.uint64)
@@ -127,18 +128,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without a doc_id stay, one for each fingerprint, only if their component has no row with one.
     """
     parts = materialize(simhash_components(docs))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     kept = parts.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    nameless = docs.where("doc_id is null")
+    named = rows.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("row.*")
+    nameless = rows.where("doc_id is null").withColumn("key", text_key(F.col("text")))
     lone = parts.where("component_id is null").select("fingerprint").distinct()
-    schema = StructType([*nameless.schema.fields, StructField("_fp", LongType())])
 
     def run(batches):
         for pdf in batches:
-            yield pdf.assign(_fp=np.array([fingerprint(t) for t in pdf["text"]], dtype=np.uint64).view(np.int64))
+            yield pd.DataFrame({"key": pdf["key"], "fingerprint": [f"{fingerprint(t):016x}" for t in pdf["text"]]})
 
-    marked = nameless.mapInPandas(run, schema).withColumn("fingerprint", F.lpad(F.lower(F.hex("_fp")), 16, "0"))
-    return named.unionByName(marked.join(lone, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]).select(docs.columns))
+    marks = nameless.select("key", "text").dropDuplicates(["key"]).mapInPandas(run, "key binary, fingerprint string")
+    single = nameless.join(marks.join(lone, "fingerprint", "left_semi"), "key").dropDuplicates(["fingerprint"])
+    return named.unionByName(single.select("row.*"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

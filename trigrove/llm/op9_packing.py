@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import materialize, numbered, table
+from trigrove.llm.common import materialize, numbered, table, text_batches
 from trigrove.llm.tokens import word_tokenizer
 
 SEQUENCE, END_ID = 2048, 0
@@ -26,6 +26,8 @@ def tokenizer_file() -> str:
 def pieces_of(docs: DataFrame, path: str, size: int = SEQUENCE, ids: bool = False) -> DataFrame:
     """``(doc_id, text)`` -> the pieces of each document: doc_id, piece, start, length, ids_crc32 (and ``ids``, little-endian 32-bit, on request)."""
 
+    text_batches(docs.sparkSession)
+
     def run(batches):
         encode, end = word_tokenizer(path).ids, np.array([END_ID], dtype="<u4").tobytes()
         for pdf in batches:
