@@ -24,16 +24,16 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     One row per row of ``docs(doc_id, text, ...)``: doc_id, size (UTF-8 bytes + 1), text_crc32, law ('rows'),
     shard, slot (gapless from 0 in each shard), grown_shard (null). Documents with equal texts are linked through
     a hub. Rows are first dealt out evenly in hash order. In each round every hub prefers the shard that has
-    most of its rows; hubs move there, in hash order, as long as the shard's quota holds all linked rows it then
+    most of its rows among those with room for the others; hubs move there, in hash order, as long as the shard's quota holds all linked rows it then
     has. Rounds end when none moves. Rows without a link then fill every shard to its quota, so sizes are even
-    whatever the links are. A group of more than half a quota has several hubs. Null texts are a group of their
+    whatever the links are. A group of more than a quarter of a quota has several hubs. Null texts are a group of their
     own; null doc_ids and repeated rows are rows like others; an empty table gives an empty result; other
     columns are ignored.
     """
     facts = materialize(_facts(docs))
     total = facts.count()
     quota = {s: total // shards + (s < total % shards) for s in range(shards)}
-    most = max(2, total // shards // 2)
+    most = max(2, total // shards // 4)
     groups = facts.groupBy("group").agg(F.count(F.lit(1)).alias("_n"))
     ranked = numbered(facts, [], F.xxhash64("doc_id", "group"), ["doc_id", "group"], "_rank", 4096)
     parts = F.ceil(F.col("_n") / most)
@@ -66,13 +66,16 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
 def _round(linked: DataFrame, quota: dict[int, int]) -> DataFrame | None:
     """One round of moves; None if no hub can move."""
     spark = linked.sparkSession
-    votes = linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
-    wanted = votes.groupBy("hub").agg(F.max(F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard")).alias("best"), F.sum("n").alias("all"))
-    movers = materialize(wanted.select("hub", F.col("best.shard").alias("target"), (F.col("all") - F.col("best.n")).alias("more")).where("more > 0"))
+    votes = materialize(linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n")))
     held = {r["shard"]: r["n"] for r in votes.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-    room = spark.createDataFrame([(s, q - held.get(s, 0)) for s, q in quota.items()], "target int, room long")
+    room = F.broadcast(spark.createDataFrame([(s, q - held.get(s, 0)) for s, q in quota.items()], "target int, room long"))
+    whole = votes.groupBy("hub").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("there"))
+    choices = whole.select("hub", "all", "there", F.explode(F.array(*[F.lit(s) for s in quota])).alias("target")).join(room, "target")
+    choices = choices.withColumn("n", F.coalesce(F.try_element_at("there", F.col("target")), F.lit(0))).where("all - n <= room")
+    best = choices.groupBy("hub", "all").agg(F.max(F.struct("n", F.xxhash64("hub", "target").alias("tie"), "target")).alias("best"))
+    movers = materialize(best.select("hub", F.col("best.target").alias("target"), (F.col("all") - F.col("best.n")).alias("more")).where("more > 0"))
     summed = running_total(movers, ["target"], F.xxhash64("hub"), ["hub"], F.col("more"), "_sum")
-    granted = materialize(summed.join(F.broadcast(room), "target").where("_sum <= room").select("hub", "target"))
+    granted = materialize(summed.join(room, "target").where("_sum <= room").select("hub", "target"))
     if granted.isEmpty():
         return None
     return linked.join(granted, "hub", "left").withColumn("shard", F.coalesce("target", "shard")).drop("target").select(linked.columns)
