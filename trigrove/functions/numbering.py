@@ -14,7 +14,7 @@ def dense_number(df: DataFrame, order: str, out: str, ties: tuple[str, ...] = ()
     Approximate quantiles, found once, cut the rows into ranges; each range is numbered by itself and lifted by
     the rows in the ranges before it. Only one number for each range meets in one place.
     """
-    cuts = sorted(set(df.approxQuantile(order, [k / parts for k in range(1, parts)], 0.5 / parts)))
+    cuts = [] if parts < 2 or df.isEmpty() else sorted(set(df.approxQuantile(order, [k / parts for k in range(1, parts)], 0.5 / parts)))
     part = reduce(lambda a, b: a + b, [(F.col(order) > c).cast("int") for c in cuts], F.lit(0))
     cut = df.withColumn("_part", F.coalesce(part, F.lit(-1)))
     ranked = cut.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order, *ties)))
