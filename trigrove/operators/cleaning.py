@@ -6,22 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trigrove.functions import text as tx
+from trigrove.functions.once import once
 
 SPLIT = "[和与及、]"
 
 
-def _once(df: DataFrame, **columns) -> DataFrame:
-    """Replace columns by way of a generator, so that each long expression is evaluated once, however often a later filter names its result."""
-    keep = [c for c in df.columns if c not in columns]
-    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))).select(df.columns)
-
-
 def _cleaned(df: DataFrame) -> DataFrame:
     """Names cleaned and normalised, relation trimmed."""
-    step = _once(df, e1=tx.clean_entity(F.col("e1")), rel=tx.trim(F.col("rel")), e2=tx.clean_entity(F.col("e2")))
+    step = once(df, e1=tx.clean_entity(F.col("e1")), rel=tx.trim(F.col("rel")), e2=tx.clean_entity(F.col("e2")))
     e2 = tx.trim(F.regexp_replace("e2", rf"^(?:[了着过]{tx.SPACE}*)+", ""))
-    step = _once(step, e2=tx.trim(F.regexp_replace(e2, tx.TAIL, "")))
-    return _once(step, e1=tx.normalize_entity(F.col("e1")), e2=tx.normalize_entity_e2(F.col("e2")))
+    step = once(step, e2=tx.trim(F.regexp_replace(e2, tx.TAIL, "")))
+    return once(step, e1=tx.normalize_entity(F.col("e1")), e2=tx.normalize_entity_e2(F.col("e2")))
 
 
 def _fault():
@@ -50,15 +45,15 @@ def expand_conjunctions(df: DataFrame) -> DataFrame:
     many = (F.size("_p1") > 1) | (F.size("_p2") > 1)
     keep = [c for c in df.columns if c not in ("e1", "e2")]
     split = rows.where(many).select(*keep, F.explode("_p1").alias("e1"), "_p2").select(*keep, "e1", F.explode("_p2").alias("e2"))
-    split = split.withColumns({"e1": tx.clean_entity(F.col("e1")), "e2": tx.clean_entity(F.col("e2"))}).where("e1 != '' and e2 != ''")
+    split = once(split, e1=tx.clean_entity(F.col("e1")), e2=tx.clean_entity(F.col("e2"))).where("e1 != '' and e2 != ''")
     return rows.where(~many).select(df.columns).unionByName(split.select(df.columns))
 
 
 def dedupe_normalized(df: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """Rows equal in normalised names and relation: the one with the smallest ordinal stays, as it is written there."""
-    keys = [*within, F.col("rel"), tx.normalize_entity(F.col("e1")).alias("_n1"), tx.normalize_entity(F.col("e2")).alias("_n2")]
+    keyed = once(df, _n1=tx.normalize_entity(F.col("e1")), _n2=tx.normalize_entity(F.col("e2")))
     first = F.min(F.struct("ordinal", "e1", "e2")).alias("f")
-    return df.groupBy(*keys).agg(first).select(*within, "f.e1", "rel", "f.e2", "f.ordinal")
+    return keyed.groupBy(*within, "rel", "_n1", "_n2").agg(first).select(*within, "f.e1", "rel", "f.e2", "f.ordinal")
 
 
 def rejected_counts(df: DataFrame) -> DataFrame:

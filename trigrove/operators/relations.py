@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trigrove.functions import lexicon as lx
 from trigrove.functions import text as tx
+from trigrove.functions.once import once
 
 SENT = ["doc_id", "sent_idx"]
 PRIORITY = ("few_shot", "zero_shot", "dep", "template", "rule")
@@ -109,14 +110,15 @@ def _spans(tokens: DataFrame) -> DataFrame:
     kids = tokens.where("dep = 'compound'").select(*SENT, F.col("head_i").alias("tok_i"), F.struct(F.col("tok_i").alias("i"), "text").alias("kid"))
     kids = kids.groupBy(*SENT, "tok_i").agg(F.collect_list("kid").alias("kids"))
     rows = tokens.join(kids, [*SENT, "tok_i"], "left")
-    own = tx.clean_mention(F.col("text"))
     parts = F.array_sort(F.concat("kids", F.array(F.struct(F.col("tok_i").alias("i"), "text"))))
-    joined = tx.clean_mention(F.array_join(F.transform(parts, lambda p: p["text"]), ""))
-    bare = tx.trim(F.col("text"))
+    rows = once(rows, own=tx.clean_mention(F.col("text")), joined=tx.clean_mention(F.array_join(F.transform(parts, lambda p: p["text"]), "")), bare=tx.trim(F.col("text")))
+    bare = F.col("bare")
     plain = F.when(bare.rlike(f"[{tx.CJK}]") & (F.length(bare) >= 2) & ~bare.isin(*lx.GENERIC_NOUNS), bare)
-    entity = F.when(tx.is_valid_mention(own), own)
-    name = F.when(F.col("ent_type").isin(*lx.MODEL_LABELS), entity).otherwise(F.coalesce(F.when(F.col("kids").isNotNull() & tx.is_valid_mention(joined), joined), plain))
-    return rows.select(*SENT, "tok_i", "dep", "head_i", "ent_type", F.when(tx.is_valid_mention(name), name).alias("name"))
+    entity = F.when(tx.is_valid_mention(F.col("own")), F.col("own"))
+    joined = F.when(F.col("kids").isNotNull() & tx.is_valid_mention(F.col("joined")), F.col("joined"))
+    rows = once(rows, name=F.when(F.col("ent_type").isin(*lx.MODEL_LABELS), entity).otherwise(F.coalesce(joined, plain)))
+    rows = once(rows, name=F.when(tx.is_valid_mention(F.col("name")), F.col("name")))
+    return rows.select(*SENT, "tok_i", "dep", "head_i", "ent_type", "name")
 
 
 def svo_relations(tokens: DataFrame) -> DataFrame:
