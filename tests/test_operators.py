@@ -40,6 +40,10 @@ def test_rules_and_templates(spark):
     rules = got(patterns.rule_extract(clauses), "e1", "rel", "e2")
     assert ("华为", "位于", "深圳") in rules and ("张一鸣", "创建", "字节跳动") in rules and ("张三", "任职", "华为") in rules and ("张三", "担任", "经理") in rules
     assert ("华为", "位于", "深圳") in got(patterns.template_extract(clauses), "e1", "rel", "e2")
+    own = patterns.default_rules(spark).where("relation = '位于'")
+    assert got(patterns.rule_extract(clauses, own), "e1", "rel", "e2") == [("华为", "位于", "深圳")]
+    cols = ("rule_id", "match_idx", "e1", "rel", "e2")
+    assert got(patterns.template_extract(clauses, patterns.default_templates(spark)), *cols) == got(patterns.template_extract(clauses), *cols)
 
 
 def test_clean_and_rejected(spark):

@@ -11,21 +11,47 @@ from trigrove.functions import text as tx
 RULE_SCHEMA = "rule_id int, relation string, pattern string, trigger string, reverse boolean"
 
 
-def default_rules(spark: SparkSession) -> DataFrame:
+def rule_rows() -> list[tuple]:
+    """The clause rules as rows of RULE_SCHEMA. A rule whose right name is followed by something takes the shortest names."""
     lazy = lambda end: "?" if end else ""
-    rows = [
+    return [
         (k, rel, f"({tx.WORD}{{2,{left}}}{lazy(end)}){mid}({tx.WORD}{{2,{right}}}{lazy(end)}){end}", mid, back)
         for k, (rel, back, left, mid, right, end) in enumerate(lx.CLAUSE_RULES)
     ]
-    return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
-def default_templates(spark: SparkSession) -> DataFrame:
+def template_rows() -> list[tuple]:
+    """The literal templates as rows of RULE_SCHEMA."""
     rows = []
     for k, (pattern, rel, back) in enumerate(lx.CLAUSE_TEMPLATES):
         mid, tail = pattern.removeprefix("{entity1}").split("{entity2}")
-        rows.append((k, rel, f"({tx.WORD}{{2,15}}?){mid}({tx.WORD}{{2,15}}?){tail}$" if not tail else f"({tx.WORD}{{2,15}}?){mid}({tx.WORD}{{2,15}}?){tail}", mid, back))
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+        rows.append((k, rel, f"({tx.WORD}{{2,15}}?){mid}({tx.WORD}{{2,15}}?){tail or '$'}", mid, back))
+    return rows
+
+
+def default_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(rule_rows(), RULE_SCHEMA)
+
+
+def default_templates(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(template_rows(), RULE_SCHEMA)
+
+
+def _match(rule_id: int, relation: str):
+    """A match's two ends and its place as a struct."""
+    return lambda m, i: F.struct(F.lit(rule_id).alias("rule_id"), i.alias("match_idx"), m["e1"].alias("e1"), F.lit(relation).alias("rel"), m["e2"].alias("e2"))
+
+
+def _apply_fixed(clauses: DataFrame, rows: list[tuple], technique: str) -> DataFrame:
+    """All matches of rules known beforehand: one array for each clause, every pattern compiled once, no join."""
+    tried = []
+    for rule_id, rel, pattern, trigger, back in rows:
+        one, two = (F.regexp_extract_all("clause", F.lit(pattern), F.lit(g)) for g in (1, 2))
+        ends = F.arrays_zip((two if back else one).alias("e1"), (one if back else two).alias("e2"))
+        tried.append(F.when(F.contains("clause", F.lit(trigger)), F.transform(ends, _match(rule_id, rel))))
+    keep = [c for c in clauses.columns if c != "clause"]
+    found = clauses.select(*keep, F.explode(F.flatten(F.array_compact(F.array(*tried)))).alias("m"))
+    return found.select(*keep, "m.*", F.lit(technique).alias("technique"))
 
 
 def _apply(clauses: DataFrame, rules: DataFrame, technique: str) -> DataFrame:
@@ -46,9 +72,9 @@ def rule_extract(clauses: DataFrame, rules: DataFrame | None = None) -> DataFram
 
     The rules of posts ('A holds the post C of B') give two rows: (A, 任职, B) and (A, 担任, C).
     """
-    plain = _apply(clauses, rules if rules is not None else default_rules(clauses.sparkSession), "rule")
     if rules is not None:
-        return plain
+        return _apply(clauses, rules, "rule")
+    plain = _apply_fixed(clauses, rule_rows(), "rule")
     keep = [c for c in clauses.columns if c != "clause"]
     for k, verb in enumerate(lx.POST_RULES):
         pattern = f"({tx.WORD}{{2,8}}){verb}({tx.WORD}{{2,10}})的({tx.WORD}{{2,10}})"
@@ -62,4 +88,4 @@ def rule_extract(clauses: DataFrame, rules: DataFrame | None = None) -> DataFram
 
 def template_extract(clauses: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """As ``rule_extract`` with literal templates."""
-    return _apply(clauses, templates if templates is not None else default_templates(clauses.sparkSession), "template")
+    return _apply(clauses, templates, "template") if templates is not None else _apply_fixed(clauses, template_rows(), "template")

@@ -207,28 +207,15 @@ def _posts_sql() -> str:
     return " union all ".join(out)
 
 
-def _rows_of_rules():
-    lazy = lambda end: "?" if end else ""
-    return [(k, rel, f"({tx.WORD}{{2,{a}}}{lazy(end)}){mid}({tx.WORD}{{2,{b}}}{lazy(end)}){end}", mid, back) for k, (rel, back, a, mid, b, end) in enumerate(lx.CLAUSE_RULES)]
-
-
-def _rows_of_templates():
-    out = []
-    for k, (pattern, rel, back) in enumerate(lx.CLAUSE_TEMPLATES):
-        mid, tail = pattern.removeprefix("{entity1}").split("{entity2}")
-        out.append((k, rel, f"({tx.WORD}{{2,15}}?){mid}({tx.WORD}{{2,15}}?){tail or '$'}", mid, back))
-    return out
-
-
 _CC = f"{_CARRY}, cc as (select doc_id, clause_idx::int as clause_idx, clause from recursive_carry)"
 
 
-@query(f"{_CC} {_rule_sql(_rows_of_rules(), 'rule')} union all {_posts_sql()}")
+@query(f"{_CC} {_rule_sql(patterns.rule_rows(), 'rule')} union all {_posts_sql()}")
 def rule_extract(spark, sf):
     return patterns.rule_extract(text.carry_subject(read(spark, sf, "prose")))
 
 
-@query(f"{_CC} {_rule_sql(_rows_of_templates(), 'template')}")
+@query(f"{_CC} {_rule_sql(patterns.template_rows(), 'template')}")
 def template_extract(spark, sf):
     return patterns.template_extract(text.carry_subject(read(spark, sf, "prose")))
 
@@ -492,7 +479,7 @@ def dedupe_normalized(spark, sf):
 
 def _extract_sql() -> str:
     """The whole extraction over short documents: one chunk each, so clauses come from the text itself."""
-    both = f"({_rule_sql(_rows_of_rules(), 'rule')} union all {_posts_sql()} union all {_rule_sql(_rows_of_templates(), 'template')})"
+    both = f"({_rule_sql(patterns.rule_rows(), 'rule')} union all {_posts_sql()} union all {_rule_sql(patterns.template_rows(), 'template')})"
     place = "(((0 * 2 + case when technique = 'template' then 0 else 1 end)::bigint * 4096 + rule_id) * 100000 + clause_idx) * 64 + match_idx"
     rank = "case technique when 'template' then 3 else 4 end"
     merged = f"m as (select doc_id, e1, rel, e2, arg_min(o, struct_pack(a := {rank}, b := o)) as ordinal from (select *, {place} as o from {both}) group by all)"
