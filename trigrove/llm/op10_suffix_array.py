@@ -11,36 +11,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import materialize, table, text_key
+from trigrove.llm.common import discard, materialize, only_keys, table, text_batches, text_key
+from trigrove.llm.rolling import span_hashes
 
-LENGTH, GRAM = 400, 50
-#: Sizes of the runs of positions that are ranked together, round by round.
+LENGTH, GRAM = 400, 150
+#: Sizes of the blocks of positions that are ranked together, round by round.
 STEPS = (64, 8, 1)
 
-_BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
-_P = 0x9E3779B97F4A7C15
-_POW: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "p" not in _POW or len(_POW["p"]) < n:
-        size = max(n, 1 << 17)
-        up, down = np.full(size, _P, dtype=np.uint64), np.full(size, pow(_P, -1, 1 << 64), dtype=np.uint64)
-        up[0] = down[0] = 1
-        _POW["p"], _POW["q"] = np.cumprod(up), np.cumprod(down)
-    return _POW["p"][:n], _POW["q"][:n]
-
 
 def gram_hashes(data: bytes, gram: int = GRAM) -> np.ndarray:
     """A 64-bit hash of every substring of ``gram`` bytes."""
-    n = len(data)
-    up, down = _powers(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[np.frombuffer(data, np.uint8)] * up, out=sums[1:])
-    h = (sums[gram:] - sums[:-gram]) * down[: n - gram + 1]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    return span_hashes(data, slice(0, len(data) - gram + 1), slice(gram, len(data) + 1))
 
 
 def runs_of(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,15 +53,17 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            out = []
+            keys, runs, whole = [], [], []
             for key, text in zip(pdf["key"], pdf["text"], strict=True):
                 data = (text or "").encode()
-                h, at, first, last = runs_of(data, length)
-                if len(h):
-                    whole = [xxhash.xxh3_128_digest(data[s : e + length]) for s, e in zip(first.tolist(), last.tolist(), strict=True)]
-                    out.append(pd.DataFrame({"key": [bytes(key)] * len(h), "gram": h.view(np.int64), "whole": whole, "at": at, "first": first, "last": last}))
-            if out:
-                yield pd.concat(out)
+                found = runs_of(data, length)
+                if len(found[0]):
+                    keys += [bytes(key)] * len(found[0])
+                    runs.append(found)
+                    whole += [xxhash.xxh3_128_digest(data[s : e + length]) for s, e in zip(found[2].tolist(), found[3].tolist(), strict=True)]
+            if keys:
+                gram, at, first, last = (np.concatenate(x) for x in zip(*runs, strict=True))
+                yield pd.DataFrame({"key": keys, "gram": gram.view(np.int64), "whole": whole, "at": at, "first": first, "last": last})
 
     return docs.mapInPandas(run, "key binary, gram long, whole binary, at int, first int, last int")
 
@@ -105,19 +88,20 @@ def _blocks(rows, size: int, length: int):
 _ROW = "key binary, gram long, at int, first int, last int, active boolean, text binary"
 
 
-def _cut(rows: DataFrame, size: int, length: int) -> DataFrame:
+def _cut(rows: DataFrame, size: int, length: int, last: bool) -> DataFrame:
+    """The blocks of ``rows`` with their names; the last round takes no bytes along."""
+
     def run(batches):
         for pdf in batches:
-            out = list(_blocks(pdf.itertuples(index=False, name=None), size, length))
-            yield pd.DataFrame(out, columns=["key", "gram", "at", "first", "last", "active", "text", "core", "full"])
+            out = pd.DataFrame(_blocks(pdf.itertuples(index=False, name=None), size, length), columns=["key", "gram", "at", "first", "last", "active", "text", "core", "full"])
+            yield out.assign(text=None) if last else out
 
     return rows.select("key", "gram", "at", "first", "last", "active", "text").mapInPandas(run, _ROW + ", core binary, full binary")
 
 
-def _pieces(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The bytes that each run of ``reps`` covers, from one copy of each text."""
+def _pieces(texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """The bytes that each run of ``reps`` covers."""
     of_text = reps.groupBy("key").agg(F.collect_list(F.struct("gram", "at", "first", "last", "active")).alias("runs"))
-    texts = docs.join(of_text.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
 
     def run(batches):
         for pdf in batches:
@@ -130,37 +114,48 @@ def _pieces(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return texts.join(of_text, "key").mapInPandas(run, _ROW)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs(key, text)`` -> ``(key, spans)``: byte ranges of a text's strings of ``length`` bytes that start elsewhere too.
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """``docs(key, text)`` -> ``(key, spans)``, byte ranges of a text's strings of ``length`` bytes that start elsewhere too, and ``(key, text)`` for those keys.
 
-    Positions are ranked in runs. First round: a run's rank is the hash of its leading gram (50 bytes), and a
+    Positions are ranked in runs. First round: a run's rank is the hash of its leading gram (150 bytes), and a
     gram that occurs once ends all its strings. Runs that agree in all bytes they cover are repeated as a whole.
-    The others are cut into blocks of 64, 8 and 1 positions; in each round the block's rank becomes the pair of
+    The others are cut into blocks of 64, 8 and 1 positions; in each round a block's rank becomes the pair of
     the gram's rank and the name of a longer string at a growing offset (337, 393 and 400 bytes that the block's
     strings share). Blocks whose rank is unique drop out; blocks that are equal in all they cover are past the
     threshold; only those on the border of a repeated stretch go on. One of many equal runs stands for all of
-    them, so a group of any size costs one row a run. Names have 128 bits.
+    them, so a group of any size costs one row a run. What decides that bytes go has names of 128 bits.
     """
+    text_batches(docs.sparkSession)
     runs = materialize(_runs(docs, length))
+    twice = materialize(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
+    everything, runs = runs, materialize(only_keys(runs, twice, "gram"))
+    discard(everything)
     classes = materialize(runs.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at", "first", "last")).alias("rep")))
     known = runs.join(classes.where("n > 1").select("gram", "whole"), ["gram", "whole"], "left_semi")
-    spans = [known.select("key", "first", "last")]
+    spans = [materialize(known.select("key", "first", "last"))]
     several = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("n") == 1).alias("open")).where("k > 1 and open").select("gram")
-    reps = classes.join(several, "gram", "left_semi").select("rep.key", "gram", "rep.at", "rep.first", "rep.last", (F.col("n") == 1).alias("active"))
-    rows = _pieces(docs, materialize(reps))
+    reps = materialize(classes.join(several, "gram", "left_semi").select("rep.key", "gram", "rep.at", "rep.first", "rep.last", (F.col("n") == 1).alias("active")))
+    need = materialize(spans[0].select("key").union(reps.select("key")).distinct())
+    texts = materialize(only_keys(docs, need, "key").groupBy("key").agg(F.first("text").alias("text")))
+    rows = _pieces(texts, reps)
+    before = [runs, classes, twice]
     for size in STEPS:
-        named = materialize(_cut(rows, size, length))
+        named = materialize(_cut(rows, size, length, size == STEPS[-1]))
+        for done in before:
+            discard(done)
         cores = named.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.max("active").alias("open")).where("n > 1 and open").select("core")
-        fulls = named.where("full is not null").groupBy("full").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("least")).where("n > 1")
+        fulls = named.where("full is not null").groupBy("full").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at", "first")).alias("least")).where("n > 1")
         met = named.join(fulls, "full", "left")
-        spans.append(met.where("active and n > 1").select("key", "first", "last"))
-        on = met.join(cores, "core", "left_semi").where("n is null or least = struct(key, at)")
+        spans.append(materialize(met.where("active and n > 1").select("key", "first", "last")))
+        on = met.join(cores, "core", "left_semi").where("n is null or least = struct(key, at, first)")
         rows = on.select("key", "gram", "at", "first", "last", (F.col("active") & F.col("n").isNull()).alias("active"), "text")
+        before = [named]
+    discard(named)
     found = spans[0]
     for more in spans[1:]:
         found = found.unionByName(more)
     found = found.select("key", F.struct("first", (F.col("last") + length).alias("end")).alias("span")).distinct()
-    return found.groupBy("key").agg(F.collect_list("span").alias("spans"))
+    return materialize(found.groupBy("key").agg(F.collect_list("span").alias("spans"))), texts
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -183,7 +178,24 @@ def _rest(data: bytes, cuts: list[tuple[int, int]]) -> bytes:
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
-    return docs.select(text_key(F.col("text")).alias("key"), "text").where("octet_length(text) >= 0")
+    return docs.select(text_key(F.col("text")).alias("key"), "text").where(F.octet_length("text") >= LENGTH)
+
+
+def _cut_texts(docs: DataFrame, length: int) -> DataFrame:
+    """Each text that loses bytes, once: key, removed, runs, digest of what is left, and that as text."""
+    spans, texts = repeated_spans(_with_key(docs), length)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for key, text, found in zip(pdf["key"], pdf["text"], pdf["spans"], strict=True):
+                data = text.encode()
+                cuts = merged(found)
+                rest = _rest(data, cuts)
+                out.append((bytes(key), sum(e - s for s, e in cuts), len(cuts), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
+            yield pd.DataFrame(out, columns=["key", "removed", "runs", "digest", "rest"])
+
+    return texts.join(spans, "key").select("key", "text", "spans").mapInPandas(run, "key binary, removed long, runs long, digest string, rest string")
 
 
 def suffix_array_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -194,20 +206,11 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     equal texts of ``length`` bytes or more lose all bytes, repeated rows included. A null doc_id is carried.
     Other columns are ignored. An empty table gives an empty result.
     """
-    assert length == LENGTH
-    spans = repeated_spans(_with_key(docs), length)
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for text, found in zip(pdf["text"], pdf["spans"], strict=True):
-                data = (text or "").encode()
-                cuts = merged(found)
-                out.append((len(data), sum(e - s for s, e in cuts), len(cuts), hashlib.sha256(_rest(data, cuts)).hexdigest()))
-            yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])], axis=1)
-
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
-    return own.join(spans, "key", "left").select("doc_id", "text", "spans").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cut = _cut_texts(docs, length).select("key", "removed", "runs", "digest")
+    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("whole"))
+    zero = F.lit(0).cast("long")
+    return own.join(cut, "key", "left").select("doc_id", "n_bytes", F.coalesce("removed", zero).alias("n_removed"), F.coalesce("runs", zero).alias("n_spans"), F.coalesce("digest", "whole").alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -215,19 +218,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Bytes of a character that a cut splits go with it. Documents that lose all their text stay as empty texts; null texts stay null.
     """
-    spans = repeated_spans(_with_key(docs), length)
-    schema = docs.schema
-
-    def run(batches):
-        for pdf in batches:
-            texts = [t if t is None or s is None else _rest(t.encode(), merged(s)).decode("utf-8", "ignore") for t, s in zip(pdf["text"], pdf["spans"], strict=True)]
-            pdf = pdf.drop(columns="spans").assign(text=texts)
-            if "n_chars" in pdf:
-                pdf["n_chars"] = [None if t is None else len(t) for t in texts]
-            yield pdf
-
-    joined = docs.withColumn("_key", text_key(F.col("text"))).join(spans.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
-    return joined.mapInPandas(run, schema)
+    cut = _cut_texts(docs, length).select("key", "rest")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text_key(F.col("text")).alias("key")).join(cut, "key", "left")
+    new = F.col("row").withField("text", F.coalesce("rest", "row.text"))
+    if "n_chars" in docs.columns:
+        new = new.withField("n_chars", F.when(F.col("rest").isNull(), F.col("row.n_chars")).otherwise(F.length("rest").cast(docs.schema["n_chars"].dataType)))
+    return rows.select(new.alias("row")).select("row.*")
 
 
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
