@@ -68,6 +68,11 @@ TWOS = [(1 << i) | (1 << j) for half in (range(32), range(32, 64)) for i, j in c
 HALF = [0] + [1 << i for i in range(32)]
 
 
+def _spread(distinct: DataFrame) -> DataFrame:
+    """As many parts as shuffles have: each row is about to become very many, which a plan by present size does not see."""
+    return distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+
+
 def _with_company(distinct: DataFrame) -> DataFrame:
     """Fingerprints of which one 32-bit half is within one bit of the same half of another one.
 
@@ -79,7 +84,7 @@ def _with_company(distinct: DataFrame) -> DataFrame:
         return left, right.bitwiseOR(F.lit(1 << 33).cast("long"))
 
     left, right = keys(F.col("fp"))
-    balls = distinct.select(F.explode(F.array(left, right)).alias("k")).select(F.explode(_literal(HALF)).alias("m"), "k").select(F.col("k").bitwiseXOR(F.col("m")).alias("k"))
+    balls = _spread(distinct).select(F.explode(F.array(left, right)).alias("k")).select(F.explode(_literal(HALF)).alias("m"), "k").select(F.col("k").bitwiseXOR(F.col("m")).alias("k"))
     shared = balls.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
     own = distinct.select("fp", F.explode(F.array(left, right)).alias("k"))
     return own.join(shared, "k", "left_semi").select("fp").distinct()
@@ -95,7 +100,7 @@ def links(distinct: DataFrame) -> DataFrame:
     that is at most 1 + 2 bits away, which a last test confirms. A variant has at most 65 + 992 fingerprints
     around it, however large the input is, and no pairs within a group are made.
     """
-    alone = distinct.select("fp", (F.bit_count("fp") % 2 == 1).alias("odd"))
+    alone = _spread(distinct).select("fp", (F.bit_count("fp") % 2 == 1).alias("odd"))
     mask = F.explode(F.when(F.col("odd"), _literal(ONES + TWOS)).otherwise(_literal(ONES)))
     met = alone.select("fp", mask.alias("m")).select(F.col("fp").bitwiseXOR(F.col("m")).alias("v"), "fp", (F.bit_count("m") <= 1).alias("near"))
     groups = met.groupBy("v").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("a"), F.collect_list("fp").alias("all"))
