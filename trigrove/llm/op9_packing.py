@@ -102,7 +102,7 @@ def place(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
     turn = F.col("_rank") - F.col("lo")
     sequence = F.col("first") + F.expr("(_rank - lo) div each")
     offset = F.col("base") + F.pmod(turn, F.col("each")) * F.col("p.length")
-    return met.select("p.*", sequence.alias("sequence_id"), offset.alias("offset")).drop("_rank")
+    return met.select(*[F.col(f"p.{c}") for c in pieces.columns], sequence.alias("sequence_id"), offset.alias("offset"))
 
 
 def pack(docs: DataFrame, path: str, size: int = SEQUENCE, ids: bool = False) -> DataFrame:
