@@ -112,7 +112,8 @@ def train(docs: DataFrame, labels: DataFrame) -> RuleModel:
 
 def scored(docs: DataFrame, model: RuleModel, keep: list[str]) -> DataFrame:
     """``docs`` with the columns of ``keep`` and ``_score``."""
-    found = docs.select(*keep, *[c.alias(f"_s_{n}") for n, c in statistics(F.col("text")).items()])
+    # a generator stands between: else a filter on the score would repeat every statistic for every rule
+    found = docs.select(*keep, F.inline(F.array(F.struct(*[c.alias(f"_s_{n}") for n, c in statistics(F.col("text")).items()]))))
     return found.withColumn("_score", model.score("_s_")).select(*keep, "_score")
 
 
