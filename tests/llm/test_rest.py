@@ -70,6 +70,11 @@ def test_media_copies(spark):
     assert op3.copies(media.limit(0)).count() == 0
 
 
+def test_media_describes_twenty_corners_of_each_level():
+    points = op3.descriptors(np.random.default_rng(1).uniform(0, 255, (160, 160)))
+    assert points.groupby("level").size().tolist() == [20, 20, 20]
+
+
 def test_quality_learns_and_holds_out(spark, odd_docs, no_docs, sf_dir):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = op4.quality(docs, labels).collect()
