@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from trigrove.functions import lexicon as lx
 from trigrove.functions import text as tx
 
 
@@ -40,3 +41,10 @@ def test_unescape_reverses_escape(spark):
     values = ["a\\b'c\"d", "\\\\", "'", "plain", ""]
     rows = spark.createDataFrame([(v,) for v in values], "c string").select("c", tx.unescape_value(tx.escape_value(F.col("c"))).alias("r")).collect()
     assert all(r.c == r.r for r in rows)
+
+
+@pytest.mark.parametrize("name", ["采购", "绩效", "合同", "订单", "会议室", "招聘", "五险一金"])
+def test_generic_nouns_are_no_mentions(spark, name):
+    assert len(lx.GENERIC_NOUNS) == len(set(lx.GENERIC_NOUNS)) == 283
+    assert not one(spark, name, tx.is_valid_mention)
+    assert one(spark, name, lambda c: tx.is_valid_mention(c, ("项目",)))

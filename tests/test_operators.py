@@ -80,6 +80,14 @@ def test_token_relations(spark):
     assert ("技术研究院", "组织名") in got(mentions.token_mentions(tokens), "text", "etype")
 
 
+def test_token_relations_take_the_list_of_generic_nouns(spark):
+    schema = "doc_id long, sent_idx int, tok_i int, char_start int, text string, lemma string, pos string, dep string, head_i int, ent_type string"
+    rows = [(1, 0, 0, 0, "任正非", "任正非", "PROPN", "nsubj", 1, "PERSON"), (1, 0, 1, 3, "创立", "创立", "VERB", "ROOT", 1, ""), (1, 0, 2, 5, "合同", "合同", "NOUN", "obj", 1, "")]
+    tokens = spark.createDataFrame(rows, schema)
+    assert got(relations.svo_relations(tokens), "e1") == []
+    assert got(relations.svo_relations(tokens, ("项目",)), "e1", "rel", "e2") == [("任正非", "创建", "合同")]
+
+
 def test_model_parsing_and_allocation(spark):
     df = spark.createDataFrame([(1, '```json\n[["张三","任职","华为"],["a","b"],5]\n```'), (2, '[["张三","任职","华为"],["李'), (3, "none"), (4, None)], "doc_id long, response string")
     assert got(model.parse_model_triples(df), "doc_id", "e1") == [(1, "张三"), (2, "张三")]

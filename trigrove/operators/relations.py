@@ -105,7 +105,7 @@ def typed_template_triples(mentions: DataFrame, sentences: DataFrame) -> DataFra
     return best.select(*SENT, "tmpl_id", "t.*", F.lit("template").alias("technique"))
 
 
-def _spans(tokens: DataFrame) -> DataFrame:
+def _spans(tokens: DataFrame, generic=lx.GENERIC_NOUNS) -> DataFrame:
     """Each token's name: itself, cleaned, if it is an entity; else joined with its compound children; else itself, if it can be a name."""
     kids = tokens.where("dep = 'compound'").select(*SENT, F.col("head_i").alias("tok_i"), F.struct(F.col("tok_i").alias("i"), "text").alias("kid"))
     kids = kids.groupBy(*SENT, "tok_i").agg(F.collect_list("kid").alias("kids"))
@@ -113,24 +113,24 @@ def _spans(tokens: DataFrame) -> DataFrame:
     parts = F.array_sort(F.concat("kids", F.array(F.struct(F.col("tok_i").alias("i"), "text"))))
     rows = once(rows, own=tx.clean_mention(F.col("text")), joined=tx.clean_mention(F.array_join(F.transform(parts, lambda p: p["text"]), "")), bare=tx.trim(F.col("text")))
     bare = F.col("bare")
-    plain = F.when(bare.rlike(f"[{tx.CJK}]") & (F.length(bare) >= 2) & ~bare.isin(*lx.GENERIC_NOUNS), bare)
-    entity = F.when(tx.is_valid_mention(F.col("own")), F.col("own"))
-    joined = F.when(F.col("kids").isNotNull() & tx.is_valid_mention(F.col("joined")), F.col("joined"))
+    plain = F.when(bare.rlike(f"[{tx.CJK}]") & (F.length(bare) >= 2) & ~bare.isin(*generic), bare)
+    entity = F.when(tx.is_valid_mention(F.col("own"), generic), F.col("own"))
+    joined = F.when(F.col("kids").isNotNull() & tx.is_valid_mention(F.col("joined"), generic), F.col("joined"))
     rows = once(rows, name=F.when(F.col("ent_type").isin(*lx.MODEL_LABELS), entity).otherwise(F.coalesce(joined, plain)))
-    rows = once(rows, name=F.when(tx.is_valid_mention(F.col("name")), F.col("name")))
+    rows = once(rows, name=F.when(tx.is_valid_mention(F.col("name"), generic), F.col("name")))
     return rows.select(*SENT, "tok_i", "dep", "head_i", "ent_type", "name")
 
 
-def svo_relations(tokens: DataFrame) -> DataFrame:
+def svo_relations(tokens: DataFrame, generic=lx.GENERIC_NOUNS) -> DataFrame:
     """Subject, verb and object of annotated tokens -> (e1, rel, e2), with the first date and place of the verb beside new ones.
 
     ``tokens`` has doc_id, sent_idx, tok_i, text, lemma, pos, dep, head_i, ent_type. Verbs are filtered by the
-    fixed lexicon first; subjects and objects join them on the sentence and the head.
+    fixed lexicon first; subjects and objects join them on the sentence and the head. ``generic``: nouns that are no names.
     """
     words = F.create_map(*[F.lit(x) for pair in lx.VERB_RELATIONS.items() for x in pair])
     rel = F.coalesce(F.try_element_at(words, F.col("lemma")), F.try_element_at(words, F.col("text")))
     verbs = tokens.where("pos = 'VERB'").select(*SENT, F.col("tok_i").alias("verb"), rel.alias("rel")).where("rel is not null")
-    spans = _spans(tokens)
+    spans = _spans(tokens, generic)
     child = lambda test, alias: spans.where(test).select(*SENT, F.col("head_i").alias("verb"), F.col("tok_i").alias(f"{alias}_i"), F.col("name").alias(alias))
     subj = child("dep in ('nsubj', 'nsubj:pass') and name is not null", "s")
     obj = child("dep in ('obj', 'dobj', 'attr') and name is not null", "o")
