@@ -64,6 +64,24 @@ def test_substring_finds_planted_passages_and_leaves_others_alone(spark):
     assert all(abs(r.end_word - r.start_word - 80) <= 3 for r in rows if r.doc_id in (8, 9))
 
 
+@pytest.mark.parametrize("edit", range(1, 11))
+@pytest.mark.parametrize("size", [60, 95, 100, 110, 120, 140, 200])
+def test_verified_joins_both_sides_of_an_edited_run(size, edit):
+    passage = words(size, size, 10**6).split()
+    changed = list(passage)
+    changed[size // 2 : size // 2 + edit] = words(7, edit, 10**6).split()
+    fill = [words(k, 30, 10**6).split() for k in (8, 9, 10, 11)]
+    own, other = (op1.shingles(" ".join(x).encode()) for x in (fill[0] + changed + fill[1], fill[2] + passage + fill[3]))
+    shared = len(np.intersect1d(*(op1.shingles(" ".join(x).encode()) for x in (changed, passage))))
+    similar = shared / (2 * (size - 4) - shared)
+    at = 30 + size // 4
+    link = {"left": 0, "centre": at, "right": len(own) - 1, "oleft": 0, "ocentre": at, "oright": len(other) - 1}
+    found = op1.verified(own, other, [{**link, "hash": 0}, {**link, "hash": 1}])
+    whole = [f for f in found if f[1] - f[0] == size]
+    assert len(whole) == (similar >= 0.8) and len(found) == len(whole or found)
+    assert all((f[0], f[1], f[2], f[3]) == (30, 30 + size, 30, 30 + size) and abs(f[4] - similar) < 1e-9 for f in whole)
+
+
 def test_substring_many_copies_of_a_passage(spark):
     passage = words(200, 70)
     df = spark.createDataFrame([(k, f"{words(300 + k, 60)} {passage} {words(900 + k, 60)}") for k in range(300)], "doc_id long, text string")
