@@ -187,6 +187,19 @@ def test_sharding(spark, odd_docs, no_docs):
     assert op7.shard(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("big", [1024, 4])
+def test_sharding_where_every_row_is_linked(spark, monkeypatch, big):
+    monkeypatch.setattr(op7, "BIG", big)
+    texts = ["hot"] * 200 + [f"g{k % 300}" for k in range(600)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    rows = op7.shard(df).collect()
+    assert Counter(r.shard for r in rows) == {s: 100 for s in range(8)} and sorted(r.doc_id for r in rows) == list(range(800))
+    shards = defaultdict(set)
+    for r in rows:
+        shards[texts[r.doc_id]].add(r.shard)
+    assert len(shards["hot"]) == 2 and all(len(v) == 1 for k, v in shards.items() if k != "hot")
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="abcXYZ éÉßİıſÀñ'sdlm0²½_-.,!?<|>\t\n\r\x0b\x1c\x85\xa0 漢字😀̈", max_size=40))
 def test_word_cache_gives_the_tokenizers_own_ids(text):
