@@ -215,6 +215,17 @@ def test_suffix_array_against_brute_force(spark, odd_docs, no_docs):
     assert op10.without_repeats(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("length", [200, 800])
+def test_suffix_array_follows_its_length(spark, length):
+    letters = lambda seed, n: "".join(random.Random(seed).choices("abcdefgh", k=n))
+    same, long = letters(1, 250), letters(2, 900)
+    texts = [letters(3, 60) + same, same + letters(4, 40), letters(5, 300) + long, long + letters(6, 300), letters(7, 1000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in op10.suffix_array_dedup(df, length).collect()}
+    short = 250 if length == 200 else 0
+    assert got == {0: short, 1: short, 2: 900, 3: 900, 4: 0}
+
+
 @pytest.mark.parametrize("part", ["identities", "windows"])
 def test_substring_parts_on_odd_rows(odd_docs, no_docs, part):
     f = getattr(op1, part)

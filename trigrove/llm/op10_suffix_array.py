@@ -99,7 +99,7 @@ def _cut(rows: DataFrame, size: int, length: int, last: bool) -> DataFrame:
     return rows.select("key", "gram", "at", "first", "last", "active", "text").mapInPandas(run, _ROW + ", core binary, full binary")
 
 
-def _pieces(texts: DataFrame, reps: DataFrame) -> DataFrame:
+def _pieces(texts: DataFrame, reps: DataFrame, length: int) -> DataFrame:
     """The bytes that each run of ``reps`` covers."""
     of_text = reps.groupBy("key").agg(F.collect_list(F.struct("gram", "at", "first", "last", "active")).alias("runs"))
 
@@ -108,7 +108,7 @@ def _pieces(texts: DataFrame, reps: DataFrame) -> DataFrame:
             out = []
             for key, text, runs in zip(pdf["key"], pdf["text"], pdf["runs"], strict=True):
                 data = text.encode()
-                out += [(bytes(key), r["gram"], r["at"], r["first"], r["last"], r["active"], data[r["first"] : r["last"] + LENGTH]) for r in runs]
+                out += [(bytes(key), r["gram"], r["at"], r["first"], r["last"], r["active"], data[r["first"] : r["last"] + length]) for r in runs]
             yield pd.DataFrame(out, columns=["key", "gram", "at", "first", "last", "active", "text"])
 
     return texts.join(of_text, "key").mapInPandas(run, _ROW)
@@ -137,7 +137,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     reps = materialize(classes.join(several, "gram", "left_semi").select("rep.key", "gram", "rep.at", "rep.first", "rep.last", (F.col("n") == 1).alias("active")))
     need = materialize(spans[0].select("key").union(reps.select("key")).distinct())
     texts = materialize(only_keys(docs, need, "key").groupBy("key").agg(F.first("text").alias("text")))
-    rows = _pieces(texts, reps)
+    rows = _pieces(texts, reps, length)
     before = [runs, classes, twice]
     for size in STEPS:
         named = materialize(_cut(rows, size, length, size == STEPS[-1]))
@@ -177,13 +177,13 @@ def _rest(data: bytes, cuts: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
-    return docs.select(text_key(F.col("text")).alias("key"), "text").where(F.octet_length("text") >= LENGTH)
+def _with_key(docs: DataFrame, length: int) -> DataFrame:
+    return docs.select(text_key(F.col("text")).alias("key"), "text").where(F.octet_length("text") >= length)
 
 
 def _cut_texts(docs: DataFrame, length: int) -> DataFrame:
     """Each text that loses bytes, once: key, removed, runs, digest of what is left, and that as text."""
-    spans, texts = repeated_spans(_with_key(docs), length)
+    spans, texts = repeated_spans(_with_key(docs, length), length)
 
     def run(batches):
         for pdf in batches:
