@@ -55,6 +55,21 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def once_each(rows: DataFrame, key: str) -> DataFrame:
+    """One row for each ``key`` (of which all rows are equal), with ``copies``: 1, or 2 where there are several.
+
+    Keys that occur once stay where they are: a Bloom filter of the repeated keys (at most BLOOM_BLOCKS blocks, 8 MB)
+    lets only those, and the few that it takes for them, go through a shuffle. ``rows`` is evaluated three times.
+    """
+    many = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key))
+    blocks = min(BLOOM_BLOCKS, bloom_size(many.count()))
+    marked = rows.withColumn("block", bloom_block(F.col(key), blocks)).join(F.broadcast(bloom_blocks(many, key, blocks)), "block", "left")
+    possible = F.coalesce(bloom_has(F.col(key)), F.lit(False))
+    rest = [c for c in rows.columns if c != key]
+    several = marked.where(possible).groupBy(key).agg(*[F.first(c).alias(c) for c in rest], F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("copies"))
+    return marked.where(~possible).select(*rows.columns, F.lit(1).alias("copies")).unionByName(materialize(several.select(*rows.columns, "copies")))
+
+
 def running_total(df: DataFrame, group: list[str], hashed: Column, ties: list[str], value: Column, out: str, buckets: int = 1024) -> DataFrame:
     """Running sums of ``value`` in each group (no nulls in ``group``), in the order of a 64-bit hash, own value included.
 
