@@ -171,8 +171,8 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     runs = materialize(only_keys(everything, twice, "gram"))
     discard(everything)
     discard(twice)
-    found = runs.groupBy("gram", "whole").agg(F.sum("copies").alias("n"), F.min(F.struct("key", "at", "first", "last")).alias("rep"))
-    classes = materialize(found.select("gram", "whole", "n", "rep.*").withColumn("run", F.monotonically_increasing_id()))
+    equal = runs.groupBy("gram", "whole").agg(F.sum("copies").alias("n"), F.min(F.struct("key", "at", "first", "last")).alias("rep"))
+    classes = materialize(equal.select("gram", "whole", "n", "rep.*").withColumn("run", F.monotonically_increasing_id()))
     known = runs.join(classes.where("n > 1").select("gram", "whole"), ["gram", "whole"], "left_semi")
     spans = [materialize(known.where("copies = 1").select("key", "first", "last"))]
     discard(runs)
@@ -193,9 +193,12 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     discard(named)
     left = doubled(_per_text(needed, border, _quarters(length), "run long, open boolean, at int, r0 long, r1 long, r2 long, r3 long"))
     spans.append(materialize(left.select("run", F.col("at").alias("first"), F.col("at").alias("last")).join(places.select("run", "key"), "run").select("key", "first", "last")))
-    all_ = spans[0].unionByName(spans[1]).unionByName(spans[2])
-    all_ = all_.select("key", F.struct("first", (F.col("last") + length).alias("end")).alias("span")).distinct()
-    return materialize(all_.groupBy("key").agg(F.collect_list("span").alias("spans")))
+    found = spans[0].unionByName(spans[1]).unionByName(spans[2])
+    found = found.select("key", F.struct("first", (F.col("last") + length).alias("end")).alias("span")).distinct()
+    found = materialize(found.groupBy("key").agg(F.collect_list("span").alias("spans")))
+    for done in (*spans, needed, reps, border):
+        discard(done)
+    return found
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -248,9 +251,9 @@ def _cut_texts(docs: DataFrame, length: int, short: int | None = None) -> DataFr
     if short:
         # strings of the full length can only repeat inside stretches where shorter ones do
         size, segments = _segments(texts, spans, length)
-        at = F.conv(F.hex(F.substring("key", 17, 4)), 16, 10).cast("int")
-        moved = F.transform("spans", lambda s: F.struct((s["first"] + at).alias("first"), (s["end"] + at).alias("end")))
-        inner = repeated_spans(segments, length).select(F.substring("key", 1, 16).alias("key"), moved.alias("spans"))
+        moved = F.transform("spans", lambda s: F.struct((s["first"] + F.col("start")).alias("first"), (s["end"] + F.col("start")).alias("end")))
+        inner = repeated_spans(segments, length).withColumn("start", F.conv(F.hex(F.substring("key", 17, 4)), 16, 10).cast("int"))
+        inner = inner.select(F.substring("key", 1, 16).alias("text_key"), moved.alias("spans")).withColumnRenamed("text_key", "key")
         spans = materialize(inner.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
     def run(batches):
