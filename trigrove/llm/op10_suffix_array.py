@@ -82,19 +82,20 @@ def _name(gram: int, size: int, block: int, part: bytes) -> bytes:
 
 
 def _per_text(texts: DataFrame, parts: DataFrame, each, schema: str) -> DataFrame:
-    """``each(data, row)`` over the rows of ``parts(key, ...)`` of each text; it yields the columns of ``schema`` as arrays or lists."""
+    """``each(data, row)`` over the rows of ``parts(key, ...)`` of each text; it gives the columns of ``schema`` as lists."""
     columns = [c for c in parts.columns if c != "key"]
     of_text = parts.groupBy("key").agg(F.collect_list(F.struct(*columns)).alias("parts"))
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
         for pdf in batches:
-            out = []
+            out = [[] for _ in names]
             for text, rows in zip(pdf["text"], pdf["parts"], strict=True):
                 data = bytes(text)
-                out += [pd.DataFrame(dict(zip(names, found, strict=True))) for r in rows if (found := each(data, r)) is not None]
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                for r in rows:
+                    for column, more in zip(out, each(data, r), strict=True):
+                        column += more
+            yield pd.DataFrame(dict(zip(names, out, strict=True)))
 
     return texts.select("key", "text").join(of_text, "key").select("text", "parts").mapInPandas(run, schema)
 
@@ -127,9 +128,9 @@ def _quarters(length: int):
     offsets = (0, size, 2 * size, length - size)
 
     def each(data: bytes, r):
-        at = list(range(r["first"], r["last"] + 1))
-        names = [np.array([xxhash.xxh3_64_intdigest(data[p + o : p + o + size]) for p in at], np.uint64).view(np.int64) for o in offsets]
-        return [r["run"]] * len(at), [r["open"]] * len(at), at, *names
+        at = range(r["first"], r["last"] + 1)
+        names = [[xxhash.xxh3_64_intdigest(data[p + o : p + o + size]) - (1 << 63) for p in at] for o in offsets]
+        return [r["run"]] * len(at), [r["open"]] * len(at), list(at), *names
 
     return each
 
