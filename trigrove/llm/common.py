@@ -134,4 +134,5 @@ def only_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     blocks = min(BLOOM_BLOCKS, bloom_size(keys.count()))
     bloom = F.broadcast(bloom_blocks(keys, key, blocks))
     met = df.withColumn("block", bloom_block(F.col(key), blocks)).join(bloom, "block").where(bloom_has(F.col(key)))
-    return met.select(df.columns).join(keys.select(key), key, "left_semi")
+    # an inner join: the optimizer would put a semi join below the filter
+    return met.select(df.columns).join(keys.select(key).distinct(), key).select(df.columns)

@@ -82,20 +82,16 @@ def _name(gram: int, size: int, block: int, part: bytes) -> bytes:
 
 
 def _per_text(texts: DataFrame, parts: DataFrame, each, schema: str) -> DataFrame:
-    """``each(data, row)`` over the rows of ``parts(key, ...)`` of each text; it gives the columns of ``schema`` as lists."""
+    """``each(data, rows)`` for each text and its rows of ``parts(key, ...)``; it gives the columns of ``schema`` as lists of lists or arrays."""
     columns = [c for c in parts.columns if c != "key"]
     of_text = parts.groupBy("key").agg(F.collect_list(F.struct(*columns)).alias("parts"))
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
         for pdf in batches:
-            out = [[] for _ in names]
-            for text, rows in zip(pdf["text"], pdf["parts"], strict=True):
-                data = bytes(text)
-                for r in rows:
-                    for column, more in zip(out, each(data, r), strict=True):
-                        column += more
-            yield pd.DataFrame(dict(zip(names, out, strict=True)))
+            out = [each(bytes(text), rows) for text, rows in zip(pdf["text"], pdf["parts"], strict=True)]
+            if out:
+                yield pd.DataFrame({n: np.concatenate(found) for n, found in zip(names, zip(*out, strict=True), strict=True)})
 
     return texts.select("key", "text").join(of_text, "key").select("text", "parts").mapInPandas(run, schema)
 
@@ -104,17 +100,16 @@ def _blocks(length: int):
     """Cut a run into blocks of BLOCK distances from the gram: ``core`` names what the strings of a whole block have in
     common, ``full`` all that they cover (null for a block that the run cuts)."""
 
-    def each(data: bytes, r):
-        gram, at = r["gram"], r["at"]
-        blocks = range((at - r["last"]) // BLOCK, (at - r["first"]) // BLOCK + 1)
-        cores, fulls = [], []
-        for b in blocks:
-            right, left = at - b * BLOCK, at - b * BLOCK - BLOCK + 1
-            cores.append(_name(gram, BLOCK, b, data[right : left + length]))
-            inside = left >= r["first"] and right <= r["last"]
-            fulls.append(_name(gram, -BLOCK, b, data[left : right + length]) if inside else None)
-        n = len(blocks)
-        return [r["run"]] * n, [r["open"]] * n, list(blocks), cores, fulls
+    def each(data: bytes, rows):
+        out = []
+        for r in rows:
+            gram, at, first, last = r["gram"], r["at"], r["first"], r["last"]
+            for b in range((at - last) // BLOCK, (at - first) // BLOCK + 1):
+                right = at - b * BLOCK
+                left = right - BLOCK + 1
+                full = _name(gram, -BLOCK, b, data[left : right + length]) if left >= first and right <= last else None
+                out.append((r["run"], r["open"], b, _name(gram, BLOCK, b, data[right : left + length]), full))
+        return [np.array(x, dtype=kind) for x, kind in zip(zip(*out, strict=True), (np.int64, bool, np.int32, object, object), strict=True)]
 
     return each
 
@@ -127,10 +122,13 @@ def _quarters(length: int):
     size = -(-length // 4)
     offsets = (0, size, 2 * size, length - size)
 
-    def each(data: bytes, r):
-        at = range(r["first"], r["last"] + 1)
-        names = [[xxhash.xxh3_64_intdigest(data[p + o : p + o + size]) - (1 << 63) for p in at] for o in offsets]
-        return [r["run"]] * len(at), [r["open"]] * len(at), list(at), *names
+    def each(data: bytes, rows):
+        first = np.array([r["first"] for r in rows])
+        n = np.array([r["last"] for r in rows]) - first + 1
+        at = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        starts = np.concatenate([at + o for o in offsets])
+        names = span_hashes(data, starts, starts + size).view(np.int64).reshape(4, -1)
+        return np.repeat([r["run"] for r in rows], n), np.repeat([r["open"] for r in rows], n), at, *names
 
     return each
 
