@@ -89,6 +89,20 @@ def test_substring_many_copies_of_a_passage(spark):
     assert {r.doc_id for r in rows} == set(range(300)) and {r.class_id for r in rows} == {0}
 
 
+def test_substring_passages_of_common_sentences(spark):
+    """Texts made of common sentences, in which one shingle says little; all pairs that share a long passage are found."""
+    r = random.Random(5)
+    sentences = [words(1000 + k, 12) for k in range(60)]
+    texts = [" ".join(r.choices(sentences, k=20)) for _ in range(260)]
+    for k in range(40):
+        passage = " ".join(r.sample(sentences, 8))
+        for i in (k, 40 + k):
+            texts[i] = words(5000 + i, 30) + " " + passage + " " + words(9000 + i, 30)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = {row.doc_id: row.class_id for row in op1.substring_duplicates(df).collect()}
+    assert sum(k in classes and classes[k] == classes.get(40 + k) for k in range(40)) == 40
+
+
 def brute_fingerprint(text):
     import re
 
