@@ -75,8 +75,7 @@ def test_verified_joins_both_sides_of_an_edited_run(size, edit):
     shared = len(np.intersect1d(*(op1.shingles(" ".join(x).encode()) for x in (changed, passage))))
     similar = shared / (2 * (size - 4) - shared)
     at = 30 + size // 4
-    link = {"left": 0, "centre": at, "right": len(own) - 1, "oleft": 0, "ocentre": at, "oright": len(other) - 1}
-    found = op1.verified(own, other, [{**link, "hash": 0}, {**link, "hash": 1}])
+    found = op1.verified(own, other, (0, len(own) - 1), (0, len(other) - 1), [at])
     whole = [f for f in found if f[1] - f[0] == size]
     assert len(whole) == (similar >= 0.8) and len(found) == len(whole or found)
     assert all((f[0], f[1], f[2], f[3]) == (30, 30 + size, 30, 30 + size) and abs(f[4] - similar) < 1e-9 for f in whole)
