@@ -62,6 +62,7 @@ CLAUSE_TEMPLATES = (
     ("{entity1}由{entity2}创立", "创建", True), ("{entity1}由{entity2}创办", "创建", True), ("{entity1}由{entity2}创建", "创建", True),
     ("{entity1}发明了{entity2}", "发明", False), ("{entity1}发现了{entity2}", "发现", False), ("{entity1}著有《{entity2}》", "著有", False),
     ("{entity1}是{entity2}的首都", "位于", False), ("{entity1}是{entity2}的省会", "位于", False),
+    ("{entity1}是{entity2}的代表人物", "关联", False), ("{entity1}是{entity2}的代表作", "代表作", False),
 )
 
 #: Words between two mentions and their relation, in the order in which they are tried.
