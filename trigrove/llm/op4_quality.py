@@ -10,6 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trigrove.functions.once import once
 from trigrove.llm.common import materialize, table
 
 #: At most so many labelled rows are fitted on (those with the smallest hash of doc_id); scoring covers all rows.
@@ -17,23 +18,35 @@ SAMPLE_ROWS = 20_000
 TREES, DEPTH, LASSO = 16, 3, 0.002
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text; null counts as empty."""
-    t = F.coalesce(text, F.lit(""))
+def with_statistics(docs: DataFrame, keep: list[str], prefix: str = "") -> DataFrame:
+    """``docs`` with the columns of ``keep`` and statistics of the whole ``text``; null counts as empty.
 
-    def count(pattern: str) -> Column:
-        return F.regexp_count(t, F.lit(pattern)).cast("double")
-
-    chars, words, lines = F.length(t).cast("double"), count(r"[^\x20\x09-\x0D]+"), count(r"\n") + 1
+    Classes of characters are counted by the length that goes when they are taken out, words by one split that the
+    others start from. Each step stands behind a generator of one row: else every use would repeat the steps before it.
+    """
+    blank = r"[\x20\x09-\x0D]+"
+    t, words, chars = F.col("_t"), F.col("_words"), F.col("_chars")
+    gone = lambda c, pattern: (F.length(c) - F.length(F.regexp_replace(c, pattern, ""))).cast("double")
+    lost = lambda c, part: ((F.length(c) - F.length(F.replace(c, F.lit(part)))) / len(part)).cast("double")
     per = lambda a, b: a / F.greatest(b, F.lit(1.0))
-    marks = count(r"[^\p{L}\p{N}\s.,;:'\"-]")
-    lower = F.lower(t)
-    return {
-        "log_chars": F.log1p(chars), "log_words": F.log1p(words), "chars_per_word": per(chars, words), "words_per_line": per(words, lines),
-        "upper": per(count(r"\p{Lu}"), chars), "marks_per_word": per(marks, words), "bars_per_word": per(count(r"(?:^|\s)\|(?=\s|$)"), words),
-        "digits": per(count(r"\p{Nd}"), chars), "stops_per_word": per(count(r"[.!?](?=\s|$)"), words), "short_words": per(count(r"(?:^|\s)\p{L}{1,3}(?=\s|$)"), words),
-        "distinct_words": per(F.size(F.array_distinct(F.split(lower, r"\s+"))).cast("double"), words), "distinct_lines": per(F.size(F.array_distinct(F.split(t, "\n"))).cast("double"), lines),
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    split = once(docs.select(*keep, text.alias("_t")), _list=F.split(F.lower(F.btrim(F.col("_t"), F.lit(" \t\n\x0b\x0c\r"))), blank))
+    some = F.element_at("_list", 1) != ""
+    # two blanks between words: each word has its own
+    spaced = F.concat(F.lit(" "), F.array_join("_list", "  "), F.lit(" "))
+    counted = once(
+        split, _words=F.when(some, F.size("_list")).otherwise(0).cast("double"), _spaced=F.when(some, spaced).otherwise(""), _chars=F.length(t).cast("double"), _lines=F.size(F.split(t, "\n")).cast("double"),
+        _distinct=F.size(F.array_distinct("_list")).cast("double"),
+    )
+    s = F.col("_spaced")
+    found = {
+        "log_chars": F.log1p(chars), "log_words": F.log1p(words), "chars_per_word": per(chars, words), "words_per_line": per(words, F.col("_lines")),
+        "upper": per(gone(t, r"\p{Lu}+"), chars), "marks_per_word": per(gone(t, r"[^\p{L}\p{N}\s.,;:'\"-]+"), words), "bars_per_word": per(lost(s, " | "), words),
+        "digits": per(gone(t, r"\p{Nd}+"), chars), "stops_per_word": per(lost(s, ". ") + lost(s, "! ") + lost(s, "? "), words), "short_words": per(gone(s, r" \p{L}{1,3} "), words),
+        "distinct_words": per(F.col("_distinct"), words), "distinct_lines": per(F.size(F.array_distinct(F.split(t, "\n"))).cast("double"), F.col("_lines")),
     }
+    return once(counted, **{prefix + n: c for n, c in found.items()}).select(*keep, *[prefix + n for n in found])
 
 
 NAMES = (
@@ -106,14 +119,13 @@ def train(docs: DataFrame, labels: DataFrame) -> RuleModel:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    rows = materialize(texts.select("doc_id", "quality", *[c.alias(n) for n, c in statistics(F.col("text")).items()]).repartition(8, "doc_id").sortWithinPartitions("doc_id"))
+    rows = materialize(with_statistics(texts, ["doc_id", "quality"]).repartition(8, "doc_id").sortWithinPartitions("doc_id"))
     return fit(rows)
 
 
 def scored(docs: DataFrame, model: RuleModel, keep: list[str]) -> DataFrame:
     """``docs`` with the columns of ``keep`` and ``_score``."""
-    # a generator stands between: else a filter on the score would repeat every statistic for every rule
-    found = docs.select(*keep, F.inline(F.array(F.struct(*[c.alias(f"_s_{n}") for n, c in statistics(F.col("text")).items()]))))
+    found = with_statistics(docs, keep, "_s_")
     return found.withColumn("_score", model.score("_s_")).select(*keep, "_score")
 
 
