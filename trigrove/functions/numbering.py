@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dense_number(df: DataFrame, order: str, out: str, ties: tuple[str, ...] = (), parts: int = 32, start: int = 1) -> DataFrame:
+def dense_number(df: DataFrame, order: str, out: str, ties: tuple[str, ...] = (), parts: int | None = None, start: int = 1) -> DataFrame:
     """Number the rows from ``start`` by the numeric column ``order``, then ``ties`` (together unique, to be repeatable).
 
     Approximate quantiles, found once, cut the rows into ranges; each range is numbered by itself and lifted by
-    the rows in the ranges before it. Only one number for each range meets in one place.
+    the rows in the ranges before it. Only one number for each range meets in one place. There are as many ranges as
+    shuffles have partitions, unless ``parts`` says otherwise.
     """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = [] if parts < 2 or df.isEmpty() else sorted(set(df.approxQuantile(order, [k / parts for k in range(1, parts)], 0.5 / parts)))
     part = reduce(lambda a, b: a + b, [(F.col(order) > c).cast("int") for c in cuts], F.lit(0))
     cut = df.withColumn("_part", F.coalesce(part, F.lit(-1)))

@@ -54,10 +54,16 @@ def _apply_fixed(clauses: DataFrame, rows: list[tuple], technique: str) -> DataF
     return found.select(*keep, "m.*", F.lit(technique).alias("technique"))
 
 
+#: A caller's rules are broadcast up to this count.
+BROADCAST_RULES = 10_000
+
+
 def _apply(clauses: DataFrame, rules: DataFrame, technique: str) -> DataFrame:
-    """All matches of all rules; a rule is only tried on clauses that hold its words. The rule table is small and fixed."""
+    """All matches of all rules; a rule is only tried on clauses that hold its words. A table of at most BROADCAST_RULES rules is broadcast."""
     keep = [c for c in clauses.columns if c != "clause"]
-    met = clauses.join(F.broadcast(rules), F.expr("contains(clause, trigger)"))
+    if rules.count() <= BROADCAST_RULES:
+        rules = F.broadcast(rules)
+    met = clauses.join(rules, F.expr("contains(clause, trigger)"))
     found = F.arrays_zip(F.regexp_extract_all("clause", "pattern", F.lit(1)).alias("left"), F.regexp_extract_all("clause", "pattern", F.lit(2)).alias("right"))
     rows = met.select(*keep, "rule_id", "relation", "reverse", F.posexplode(found).alias("match_idx", "m"))
     left, right = F.col("m.left"), F.col("m.right")

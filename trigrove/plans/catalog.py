@@ -480,7 +480,7 @@ def dedupe_normalized(spark, sf):
 def _extract_sql() -> str:
     """The whole extraction over short documents: one chunk each, so clauses come from the text itself."""
     both = f"({_rule_sql(patterns.rule_rows(), 'rule')} union all {_posts_sql()} union all {_rule_sql(patterns.template_rows(), 'template')})"
-    place = "(((0 * 2 + case when technique = 'template' then 0 else 1 end)::bigint * 4096 + rule_id) * 100000 + clause_idx) * 64 + match_idx"
+    place = "(((0 * 2 + case when technique = 'template' then 0 else 1 end)::bigint * 4096 + rule_id) * 100000 + clause_idx) * 100000 + match_idx"
     rank = "case technique when 'template' then 3 else 4 end"
     merged = f"m as (select doc_id, e1, rel, e2, arg_min(o, struct_pack(a := {rank}, b := o)) as ordinal from (select *, {place} as o from {both}) group by all)"
     expand = _EXPAND.replace("from dirty", "from m").replace("select ordinal,", "select doc_id, ordinal,").replace("e2, ordinal from", "e2, ordinal, doc_id from")
@@ -574,9 +574,9 @@ def query_all(spark, sf):
     return graph.query_all(graph.graph_edges(rows), graph.graph_nodes(rows.where("ordinal % 2 = 0")))
 
 
-@query(f"{T} select distinct e1 as entity1, rel as relation, e2 as entity2 from triples where contains(e1, 'AN') or contains(e2, 'AN')")
+@query(f"{T} select distinct e1 as entity1, rel as relation, e2 as entity2 from triples where contains(e1, 'NATION_2') or contains(e2, 'NATION_2')")
 def search_keyword(spark, sf):
-    return graph.search_keyword(graph.graph_edges(read(spark, sf, "triples")), "AN")
+    return graph.search_keyword(graph.graph_edges(read(spark, sf, "triples")), "NATION_2")
 
 
 @query(f"{T}, k as (select distinct substr(n_name, 2, 3) as keyword from nation), e as (select distinct e1 as entity1, rel as relation, e2 as entity2 from triples) select e.*, keyword from e, k where contains(entity1, keyword) or contains(entity2, keyword)")
@@ -618,9 +618,9 @@ def viz_edges(spark, sf):
     return graph.viz_edges(read(spark, sf, "dirty"))
 
 
-@query(_viz_nodes_sql("contains(e1, 'CHINA') or contains(e2, 'CHINA')"))
+@query(_viz_nodes_sql("contains(e1, 'NATION_3') or contains(e2, 'NATION_3')"))
 def search_subgraph(spark, sf):
-    return graph.search_subgraph(read(spark, sf, "triples"), "CHINA")[0]
+    return graph.search_subgraph(read(spark, sf, "triples"), "NATION_3")[0]
 
 
 # Triple table

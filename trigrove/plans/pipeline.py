@@ -9,9 +9,9 @@ from trigrove.operators import cleaning, patterns, relations, text
 
 
 def _ordinal(df: DataFrame) -> DataFrame:
-    """Place of a triple in its document: chunk, clause, technique, rule, match."""
+    """Place of a triple in its document: chunk, technique, rule, clause, match; a chunk has fewer clauses and matches than characters, and those are fewer than 100,000."""
     late = F.when(F.col("technique") == "template", 0).otherwise(1)
-    n = (((F.col("chunk_idx").cast("long") * 2 + late) * 4096 + F.col("rule_id")) * 100_000 + F.col("clause_idx")) * 64 + F.col("match_idx")
+    n = (((F.col("chunk_idx").cast("long") * 2 + late) * 4096 + F.col("rule_id")) * 100_000 + F.col("clause_idx")) * 100_000 + F.col("match_idx")
     return df.withColumn("ordinal", n)
 
 
