@@ -42,16 +42,16 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``(doc_id, text)`` -> ``(doc_id, fp)``; fp is the fingerprint as a signed long."""
+    """``(doc_id, text)`` -> ``(doc_id, key, fp)``: identity of the text and the fingerprint as a signed long."""
 
     text_batches(docs.sparkSession)
 
     def run(batches):
         for pdf in batches:
             fps = np.array([fingerprint(t, width) for t in pdf["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": pdf["key"], "fp": fps.view(np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text").mapInPandas(run, "doc_id long, key binary, fp long")
 
 
 def _signed(mask: int) -> int:
@@ -108,6 +108,17 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3).distinct()
 
 
+def _components(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, key, fp, root (of the component's fingerprints) and component_id of each row."""
+    own = materialize(fingerprints(docs, width))
+    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    survivors = materialize(_with_company(distinct.select("fp")))
+    parts = connected_components(links(survivors))
+    joined = distinct.join(parts, distinct["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    roots = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    return own.join(joined.join(roots, "root").select("fp", "root", "component_id"), "fp")
+
+
 def simhash_components(docs: DataFrame, width: int = 3) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -116,36 +127,19 @@ def simhash_components(docs: DataFrame, width: int = 3) -> DataFrame:
     of any size costs one node. A null doc_id keeps its row and is never a component_id (null if the component
     has no other). Repeated rows give repeated rows; an empty table gives an empty result; other columns are ignored.
     """
-    own = materialize(fingerprints(docs, width))
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    survivors = materialize(_with_company(distinct.select("fp")))
-    parts = connected_components(links(survivors))
-    joined = distinct.join(parts, distinct["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    roots = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = joined.join(roots, "root").select("fp", "component_id")
-    out = own.join(by_fp, "fp")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _components(docs, width).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest doc_id (any one of them, if it repeats).
+    """``docs`` with one row of each component: the one with the smallest doc_id, of those the one with the smallest identity of its text.
 
-    Rows without a doc_id stay, one for each fingerprint, only if their component has no row with one.
+    A row without a doc_id stays only if no row of its component has one. Rows that are equal in both are one.
     """
-    parts = materialize(simhash_components(docs))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kept = parts.where("doc_id = component_id").select("doc_id").distinct()
-    named = rows.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("row.*")
-    nameless = rows.where("doc_id is null").withColumn("key", text_key(F.col("text")))
-    lone = parts.where("component_id is null").select("fingerprint").distinct()
-
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"key": pdf["key"], "fingerprint": [f"{fingerprint(t):016x}" for t in pdf["text"]]})
-
-    marks = nameless.select("key", "text").dropDuplicates(["key"]).mapInPandas(run, "key binary, fingerprint string")
-    single = nameless.join(marks.join(lone, "fingerprint", "left_semi"), "key").dropDuplicates(["fingerprint"])
-    return named.unionByName(single.select("row.*"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    kept = materialize(_components(docs, 3).groupBy("root").agg(F.min_by(F.struct("doc_id", "key"), order).alias("k")).select("k.*"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"))
+    met = rows.alias("r").join(kept.alias("k"), (F.col("r.key") == F.col("k.key")) & F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    return met.dropDuplicates(["key", "doc_id"]).select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
