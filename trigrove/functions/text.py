@@ -11,6 +11,8 @@ CJK = r"\x{4e00}-\x{9fff}"
 WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\s\p{Z}]"
 TRIM = rf"^{SPACE}+|{SPACE}+$"
+#: The characters of SPACE.
+BLANKS = " \t\n\x0b\x0c\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 DATE = r"\p{Nd}{1,4}年\p{Nd}{0,2}月?\p{Nd}{0,2}日?[前后]?"
 CLAUSE_END = r"[，。；！？\n,;!?]"
 SENTENCE = r"[^。！？；;!?\n]*[。！？；;!?\n]|[^。！？；;!?\n]+$"
@@ -29,7 +31,7 @@ EDGE = "|".join(lx.MENTION_EDGES)
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, TRIM, "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def is_blank(c: Column) -> Column:
