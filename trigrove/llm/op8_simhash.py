@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from hashlib import md5
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import materialize, table, text_batches, text_key
+from trigrove.llm.common import discard, materialize, only_keys, table, text_batches, text_key
 from trigrove.llm.components import connected_components
 
 SEED, CHUNK = 42, 1 << 15
@@ -130,13 +131,125 @@ def simhash_components(docs: DataFrame, width: int = 3) -> DataFrame:
     return _components(docs, width).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Near-duplicate texts: words of a shingle, least similarity as a fraction, and the wide fingerprint of PARTS words of 32 bits
+#: over pairs of words, with the most differing bits that a pair to be verified may have (three quarters of the way to J = 0.5).
+WIDTH, SIMILAR, PARTS, FAR = 5, (4, 5), 8, 64
+#: Representatives of a variant, each the first one in an order of its own, and partners of one text in one salted part.
+REPRESENTATIVES, SALT = 4, 256
+BALL = [0] + [1 << i for i in range(32)]
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of ``width`` words (fewer words: the whole sequence; none: empty), A-Z lower-cased."""
+    words = (text or "").encode().lower().split()
+    n, width = len(words), min(width, len(words))
+    if not n:
+        return np.zeros(0, np.uint64)
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+    hashes = own[: n - width + 1]
+    for k in range(1, width):
+        hashes = _mix(hashes) + own[k : n - width + 1 + k]
+    return np.unique(_mix(hashes))
+
+
+def wide_fingerprint(text: str | None) -> np.ndarray:
+    """SimHash of 32 * PARTS bits over the distinct pairs of words, as int32; no words: zeros."""
+    hashes = shingle_set(text, 2)
+    ones = np.zeros(32 * PARTS, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        part = hashes[at : at + CHUNK]
+        bits = np.stack([_mix(part + np.uint64(k)) for k in range(PARTS // 2)], axis=1)
+        ones += np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i4")
+
+
+def wide_fingerprints(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` -> ``(doc_id, key, node, fp)``: identity of the text, of its set of shingles, and the wide fingerprint."""
+
+    text_batches(docs.sparkSession)
+
+    def run(batches):
+        for pdf in batches:
+            nodes = [md5(shingle_set(t, WIDTH).tobytes()).digest() for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": pdf["key"], "node": nodes, "fp": [wide_fingerprint(t) for t in pdf["text"]]})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text").mapInPandas(run, "doc_id long, key binary, node binary, fp array<int>")
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """``nodes(node, key, fp)`` -> ``(a, b, a_key, b_key)``, pairs of different nodes to verify.
+
+    Radius 2 of each 32-bit part is split as 1 + 1: every part emits all its variants within one bit. Variants that
+    one node has alone go first, by counts. All that meet at a variant are paired with its REPRESENTATIVES, the
+    first of them in as many fixed random orders, so that pairs grow in proportion to a group; pairs with more than
+    FAR differing bits of the whole fingerprint are left out.
+    """
+    low = F.lit(0xFFFFFFFF).cast("long")
+    part = F.shiftleft(F.col("part").cast("long"), 32).bitwiseOR(F.col("word").cast("long").bitwiseAND(low))
+    spread = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+    met = spread.select("*", F.posexplode("fp").alias("part", "word")).select("node", "key", "fp", part.alias("k"), F.explode(_literal(BALL)).alias("m")).select(F.col("k").bitwiseXOR(F.col("m")).alias("v"), "node", "key", "fp")
+    shared = materialize(met.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v"))
+    hits = materialize(only_keys(met, shared, "v"))
+    firsts = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "key", "fp")) for i in range(REPRESENTATIVES)]
+    chosen = hits.groupBy("v").agg(F.array_distinct(F.transform(F.array(*firsts), lambda r: F.struct(r["node"].alias("node"), r["key"].alias("key"), r["fp"].alias("fp")))).alias("r"))
+    pairs = hits.join(chosen, "v").select("node", "key", "fp", F.explode("r").alias("r")).where(F.col("r.node") != F.col("node"))
+    apart = F.aggregate(F.zip_with("fp", "r.fp", lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(low))), F.lit(0), lambda s, x: s + x)
+    ends = pairs.where(apart <= FAR).select(F.struct(F.col("r.node").alias("node"), F.col("r.key").alias("key")).alias("x"), F.struct("node", "key").alias("y"))
+    found = materialize(ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.key").alias("a_key"), F.col("y.key").alias("b_key")))
+    discard(shared)
+    discard(hits)
+    return found
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``(a, b)`` of ``pairs`` whose texts have a Jaccard similarity of at least SIMILAR over their sets of shingles.
+
+    Only texts of pairs are cut into shingles, each once. A text with very many partners is dealt to one part for every SALT of them.
+    """
+    text_batches(docs.sparkSession)
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"key": pdf["key"], "s": [shingle_set(t, WIDTH).view(np.int64) for t in pdf["text"]]})
+
+    wanted = materialize(pairs.select(F.explode(F.array("a_key", "b_key")).alias("key")).distinct())
+    texts = only_keys(docs.select(text_key(F.col("text")).alias("key"), "text"), wanted, "key").dropDuplicates(["key"])
+    sets = materialize(texts.mapInPandas(run, "key binary, s array<long>"))
+
+    def side(now: DataFrame, end: str) -> DataFrame:
+        parts = now.groupBy(end).agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("parts"))
+        dealt = now.join(parts, end).withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int"))
+        held = parts.select(end, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).join(sets.select(F.col("key").alias(end), F.col("s").alias(end[0] + "_s")), end)
+        return dealt.join(held, [end, "salt"]).drop("parts", "salt")
+
+    both, (num, den) = side(side(pairs, "a_key"), "b_key"), SIMILAR
+    shared, total = F.size(F.array_intersect("a_s", "b_s")), F.size("a_s") + F.size("b_s")
+    return both.where(shared * (num + den) >= total * num).select("a", "b")
+
+
+def near_components(docs: DataFrame) -> DataFrame:
+    """doc_id, key and root (the smallest node that verified links reach) of each row; one node for all rows with equal sets of shingles."""
+    own = materialize(wide_fingerprints(docs))
+    nodes = own.groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp"))
+    parts = connected_components(similar_pairs(docs, candidates(nodes)))
+    return own.join(parts, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("root"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest doc_id, of those the one with the smallest identity of its text.
+    """``docs`` with one row of each group of near-duplicates: the one with the smallest doc_id, of those the one with the smallest identity of its text.
 
-    A row without a doc_id stays only if no row of its component has one. Rows that are equal in both are one.
+    Texts are linked at a Jaccard similarity of 0.8 or more over their sets of five-word shingles, among the pairs
+    that ball hashing finds (see ``candidates``); texts without words are equal. A row without a doc_id stays only
+    if no row of its group has one. Rows that are equal in both are one.
     """
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
-    kept = materialize(_components(docs, 3).groupBy("root").agg(F.min_by(F.struct("doc_id", "key"), order).alias("k")).select("k.*"))
+    kept = materialize(near_components(docs).groupBy("root").agg(F.min_by(F.struct("doc_id", "key"), order).alias("k")).select("k.*"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"))
     met = rows.alias("r").join(kept.alias("k"), (F.col("r.key") == F.col("k.key")) & F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
     return met.dropDuplicates(["key", "doc_id"]).select("row.*")
