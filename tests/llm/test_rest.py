@@ -149,7 +149,7 @@ def test_neighbours_recall_ties_and_odd_vectors(spark):
     odd = [(5000, None), (5050, [0.0] * 16), (5100, [float("nan")] * 16), (5150, [1.0, None]), (5200, [float("inf")] * 16), (5250, []), (None, [1.0] * 16), (5300, [1.0, 2.0]), (0, rows[0][1])]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").selectExpr("*", "1 as v", "2 as block", "3 as part")
     got = defaultdict(list)
-    for x in op6.nearest(df, (op6.F.col("vec_id") % 50 == 0), least=4000).orderBy("query_id", "rank").collect():
+    for x in op6.nearest(df, (op6.F.col("vec_id") % 50 == 0)).orderBy("query_id", "rank").collect():
         got[x.query_id].append((x.rank, x.vec_id, x.score))
     assert set(got) == set(range(0, 3000, 50))
     exact = vectors.astype(float)
@@ -167,6 +167,30 @@ def test_neighbours_recall_ties_and_odd_vectors(spark):
     assert op6.nearest(df.limit(0), op6.F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_neighbour_query_against_brute_force(spark, sf):
+    """The query with its own parameters on a whole table: exact scores, recall of the five nearest, rows compared."""
+    folder = f"/root/testdata/{sf}"
+    rows = op6.usable(spark.read.parquet(f"{folder}/embeddings.parquet")).orderBy("vec_id").collect()
+    ids, vectors = np.array([r.vec_id for r in rows]), np.array([r.v for r in rows])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    got = defaultdict(list)
+    for r in op6.op6_ann(spark, folder).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    asked = np.flatnonzero(ids % 50 == 0)
+    assert set(got) == set(ids[asked].tolist())
+    hits = 0
+    for at in asked:
+        sims = unit @ unit[at]
+        sims[at] = -2
+        best = ids[np.lexsort((ids, -np.round(sims, 12)))[:5]]
+        found = sorted(got[ids[at]])
+        assert [k for k, _, _ in found] == [1, 2, 3, 4, 5] and all(abs(s - sims[np.searchsorted(ids, v)]) < 1e-12 for _, v, s in found)
+        hits += len({v for _, v, _ in found} & set(best.tolist()))
+    print(sf, "recall", hits / 5 / len(asked))
+    assert hits >= 0.9 * 5 * len(asked)
+
+
 def test_sharding(spark, odd_docs, no_docs):
     texts = ["hot"] * 400 + [f"t{k}" for k in range(500)] + [f"g{k % 60}" for k in range(300)] + [None, None, "", "é"]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(7)

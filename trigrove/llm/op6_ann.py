@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from trigrove.llm.common import materialize, table
 
-TREES, BITS, SEED = 24, 64, 11
-#: Rows of one block and the least number of tree entries gathered for a query in a block (a block of fewer rows is searched whole).
-BLOCK_ROWS, QUERY_ROWS, GATHER = 8192, 1024, 7000
+TREES, BITS, SEED = 96, 64, 11
+#: Rows of one block of data and of queries, and the tree entries gathered for a query: GATHER times the root of the block's rows.
+BLOCK_ROWS, QUERY_ROWS, GATHER = 16384, 8192, 40
 
 
 def hash_strings(vectors: np.ndarray, trees: int = TREES, bits: int = BITS, seed: int = SEED) -> np.ndarray:
@@ -55,9 +55,14 @@ class Forest:
             yield np.unique(np.concatenate([o[a:b] for o, a, b in zip(self.order, low[:, k], high[:, k], strict=True)]))
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, least: int) -> pd.DataFrame:
-    """The k best found rows of a block for each query, by cosine in double precision, ties to the smaller id."""
-    norms, forest, out = np.linalg.norm(vectors, axis=1), Forest(vectors), []
+def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, gather: float) -> pd.DataFrame:
+    """The k best found rows of a block for each query, by cosine in double precision, ties to the smaller id.
+
+    The forest ascends until it holds gather * sqrt(rows) entries, and for at least 4 * k rows besides the query's own.
+    """
+    norms, forest = np.linalg.norm(vectors, axis=1), Forest(vectors)
+    least = max(int(gather * len(ids) ** 0.5), (4 * k + 1) * TREES)
+    out = []
     for q, own, found in zip(query_ids, queries, forest.candidates(queries, least), strict=True):
         found = found[ids[found] != q]
         score = (vectors[found] @ own) / (norms[found] * np.linalg.norm(own))
@@ -65,8 +70,8 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
             cut = np.partition(score, len(score) - k)[len(score) - k]
             found, score = found[score >= cut], score[score >= cut]
         best = np.lexsort((ids[found], -score))[:k]
-        out.append(pd.DataFrame({"query_id": q, "vec_id": ids[found][best], "score": score[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        out.append((np.full(len(best), q, np.int64), ids[found][best], score[best]))
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -76,12 +81,13 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null").where(fine).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, least: int = GATHER) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 5, gather: float = GATHER) -> DataFrame:
     """For each row of ``vectors(vec_id, embedding, ...)`` that ``is_query`` holds for, the k nearest others found.
 
     Returns query_id, rank, vec_id, score (cosine, double). All rows are indexed, in hash blocks of about
     BLOCK_ROWS rows; every query block meets every data block once, as a stated set of queries against all rows
     in blocks, and each block answers with its k best, so that nothing larger than two blocks is ever together.
+    A row moves once for each QUERY_ROWS queries, a query once for each BLOCK_ROWS rows.
     Vectors of different lengths are not compared. Unusable vectors (see ``usable``) take no part. An empty
     table gives an empty result; other columns are ignored.
     """
@@ -95,7 +101,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, least: int = GATHER) -> Da
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        return search_block(left["vec_id"].to_numpy(), np.stack(left["v"].to_list()), right["vec_id"].to_numpy(), np.stack(right["v"].to_list()), k, least)
+        return search_block(left["vec_id"].to_numpy(), np.stack(left["v"].to_list()), right["vec_id"].to_numpy(), np.stack(right["v"].to_list()), k, gather)
 
     found = data.select(*keys, "vec_id", "v").groupBy(*keys).cogroup(asked.select(*keys, "vec_id", "v").groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
