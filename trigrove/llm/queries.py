@@ -14,8 +14,9 @@ from trigrove.llm.op9_packing import op9_packing
 from trigrove.llm.op10_suffix_array import op10_suffix_array
 from trigrove.llm.op11_centroids import SQL as SQL11
 from trigrove.llm.op11_centroids import op11_centroids
+from trigrove.llm.op12_toxicity import op12_toxicity
 from trigrove.llm.op13_codes import SQL as SQL13
 from trigrove.llm.op13_codes import op13_codes
 
-QUERIES = {f.__name__: f for f in (op1_substring, op2_url_filter, op3_media, op4_quality, op5_mixing, op6_ann, op7_sharding, op8_simhash, op9_packing, op10_suffix_array, op11_centroids, op13_codes)}
+QUERIES = {f.__name__: f for f in (op1_substring, op2_url_filter, op3_media, op4_quality, op5_mixing, op6_ann, op7_sharding, op8_simhash, op9_packing, op10_suffix_array, op11_centroids, op12_toxicity, op13_codes)}
 ORACLES = {"op2_url_filter": SQL2, "op5_mixing": SQL5, "op11_centroids": SQL11, "op13_codes": SQL13}
