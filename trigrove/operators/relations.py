@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from trigrove.functions import lexicon as lx
 from trigrove.functions import text as tx
-from trigrove.functions.once import once
+from trigrove.functions.once import let, once
+from trigrove.operators.sentences import SENT, beside_text
 
-SENT = ["doc_id", "sent_idx"]
 PRIORITY = ("few_shot", "zero_shot", "dep", "template", "rule")
 
 
@@ -44,31 +44,48 @@ def match_relation(between: Column, allowed: Column) -> Column:
     return F.coalesce(*tests, F.when((F.size(allowed) == 1) & (size <= 6), F.get(allowed, 0)))
 
 
-def _pairs(mentions: DataFrame, sentences: DataFrame, how) -> DataFrame:
-    """Pairs of mentions of one sentence, e1 before e2, with the text between; joined on the sentence."""
-    side = lambda p: mentions.select(*SENT, *[F.col(c).alias(f"{p}_{c}") for c in ("m_idx", "text", "etype", "start", "end")])
-    met = side("a").join(side("b"), SENT).where(how & (F.col("a_end") <= F.col("b_start")))
-    met = met.join(sentences.select(*SENT, "sent_text"), SENT)
-    return met.withColumn("between", F.col("sent_text").substr(F.col("a_end") + 1, F.col("b_start") - F.col("a_end")))
+MENTION = ("m_idx", "start", "end", "text", "etype")
 
 
-def _found(rows: DataFrame, rel: Column, technique: str) -> DataFrame:
-    named = rows.select(*SENT, "a_m_idx", "b_m_idx", F.col("a_text").alias("e1"), rel.alias("rel"), F.col("b_text").alias("e2"), F.lit(technique).alias("technique"))
-    return named.where("rel is not null")
+def _pairs(mentions: DataFrame, sentences: DataFrame, how, between) -> DataFrame:
+    """Pairs of mentions of one sentence, the first one ending before the second, with the text between.
+
+    ``how`` tests two mentions, ``between`` the text (trimmed or not, as it returns it, null for no pair), both
+    inside the sentence's array, so that only pairs that pass become rows.
+    """
+    packed = beside_text(mentions, sentences, F.struct(*MENTION))
+    text = lambda a, b: F.substring("sent_text", a["end"] + 1, b["start"] - a["end"])
+    pair = lambda a: lambda b: F.struct(a.alias("a"), b.alias("b"), between(text(a, b)).alias("between"))
+    after = lambda a: F.filter("ms", lambda b: how(a, b) & (a["end"] <= b["start"]))
+    met = F.flatten(F.transform("ms", lambda a: F.transform(after(a), pair(a))))
+    rows = packed.select(*SENT, F.inline(F.filter(met, lambda p: p["between"].isNotNull())))
+    return rows.select(*SENT, *[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("a", "b") for c in MENTION], "between")
+
+
+def _matched(rows: DataFrame) -> DataFrame:
+    """Pairs with a relation that the words between and the types allow."""
+    typed = once(rows, allowed=_compat(F.col("a_etype"), F.col("b_etype")))
+    named = once(typed, rel=match_relation(F.col("between"), F.col("allowed"))).where("rel is not null")
+    return named.select(*SENT, "a_m_idx", "b_m_idx", F.col("a_text").alias("e1"), "rel", F.col("b_text").alias("e2"), F.lit("rule").alias("technique"))
+
+
+def _short(most: int, ends: str | None = None):
+    """The trimmed text if it has 1 to ``most`` characters and no ``ends``."""
+    fine = lambda t: F.length(t).between(1, most) & (~t.rlike(ends) if ends else F.lit(True))
+    return lambda between: let(tx.trim(between), lambda t: F.when(fine(t), t))
 
 
 def pair_relations(mentions: DataFrame, sentences: DataFrame) -> DataFrame:
     """Relations of mention pairs without dates, by the words between them (1 to 25 characters of one clause)."""
-    rows = _pairs(mentions, sentences, (F.col("a_m_idx") < F.col("b_m_idx")) & (F.col("a_etype") != "时间") & (F.col("b_etype") != "时间"))
-    rows = rows.withColumn("between", tx.trim(F.col("between"))).where(F.length("between").between(1, 25) & ~F.col("between").rlike(tx.CLAUSE_END))
-    return _found(rows, match_relation(F.col("between"), _compat(F.col("a_etype"), F.col("b_etype"))), "rule")
+    undated = lambda a, b: (a["m_idx"] < b["m_idx"]) & (a["etype"] != "时间") & (b["etype"] != "时间")
+    rows = _pairs(mentions, sentences, undated, _short(25, tx.CLAUSE_END))
+    return _matched(rows)
 
 
 def time_pair_relations(mentions: DataFrame, sentences: DataFrame) -> DataFrame:
     """Relations of a mention and a later date, by at most 15 characters between them."""
-    rows = _pairs(mentions, sentences, (F.col("a_etype") != "时间") & (F.col("b_etype") == "时间"))
-    rows = rows.withColumn("between", tx.trim(F.col("between"))).where(F.length("between").between(1, 15))
-    return _found(rows, match_relation(F.col("between"), _compat(F.col("a_etype"), F.col("b_etype"))), "rule")
+    rows = _pairs(mentions, sentences, lambda a, b: (a["etype"] != "时间") & (b["etype"] == "时间"), _short(15))
+    return _matched(rows)
 
 
 def typed_template_pairs(mentions: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -76,10 +93,10 @@ def typed_template_pairs(mentions: DataFrame, sentences: DataFrame) -> DataFrame
 
     The template table is fixed and small; it is tested as one array on each pair, with no join.
     """
-    rows = _pairs(mentions, sentences, F.col("a_m_idx") != F.col("b_m_idx")).where(~F.col("between").rlike("[。！？；;]"))
+    rows = _pairs(mentions, sentences, lambda a, b: a["m_idx"] != b["m_idx"], lambda t: F.when(~t.rlike("[。！？；;]"), t))
     whole = F.concat("between", "b_text")
     at = F.expr("locate(b_text, concat(between, b_text))")
-    rows = rows.withColumn("mid", whole.substr(F.lit(1), at - 1)).withColumn("allowed", _compat(F.col("a_etype"), F.col("b_etype"))).where("mid != ''")
+    rows = once(rows.withColumn("mid", whole.substr(F.lit(1), at - 1)).where("mid != ''"), allowed=_compat(F.col("a_etype"), F.col("b_etype")))
     tests = []
     for k, (words, rel, one, two) in enumerate(lx.PAIR_TEMPLATES):
         test = F.array_contains("allowed", rel) & reduce(lambda x, y: x | y, [F.contains("mid", F.lit(w)) for w in words])
@@ -90,60 +107,65 @@ def typed_template_pairs(mentions: DataFrame, sentences: DataFrame) -> DataFrame
     return hits.select(*SENT, "t.tmpl_id", "a_m_idx", "b_m_idx", F.col("a_text").alias("e1"), "t.rel", F.col("b_text").alias("e2"), F.lit("template").alias("technique"))
 
 
+def _first_triple(pattern: str, relation: str, types: tuple) -> Column:
+    """The first three mentions of a sentence, by number, that make the template's text when put into it, as (e1, rel, e2); null if there are none."""
+    typed = lambda t, test: F.filter("ms", lambda m: (m["etype"] == t) & test(m)) if t else F.filter("ms", test)
+    filled = lambda a, b, c: F.replace(F.replace(F.replace(F.lit(pattern), F.lit("{e1}"), a["text"]), F.lit("{e2}"), b["text"]), F.lit("{e3}"), c["text"])
+    second = lambda a: typed(types[1], lambda b: (b["start"] > a["end"]) & (b["m_idx"] > a["m_idx"]))
+    third = lambda a, b: typed(types[2], lambda c: (c["start"] > a["end"]) & (c["m_idx"] > b["m_idx"]) & (c["start"] >= b["start"]) & F.contains("sent_text", filled(a, b, c)))
+    hit = lambda a, b: lambda c: F.struct(a["m_idx"].alias("x"), b["m_idx"].alias("y"), c["m_idx"].alias("z"), a["text"].alias("e1"), F.lit(relation).alias("rel"), b["text"].alias("e2"))
+    hits = F.transform(typed(types[0], lambda a: F.lit(True)), lambda a: F.flatten(F.transform(second(a), lambda b: F.transform(third(a, b), hit(a, b)))))
+    return F.array_min(F.flatten(hits))
+
+
 def typed_template_triples(mentions: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Three mentions in order whose texts, put into a template, stand in the sentence: the first ones of each template give (e1, rel, e2)."""
-    spark = mentions.sparkSession
-    templates = spark.createDataFrame([(k, *t) for k, t in enumerate(lx.TRIPLE_TEMPLATES)], "tmpl_id int, pattern string, relation string, t1 string, t2 string, t3 string")
-    side = lambda p: mentions.select(*SENT, *[F.col(c).alias(f"{p}_{c}") for c in ("m_idx", "text", "etype", "start", "end")])
-    first = side("a").join(F.broadcast(templates), F.col("a_etype") == F.col("t1"))
-    two = first.join(side("b"), SENT).where("b_etype = t2 and b_start > a_end and b_m_idx > a_m_idx")
-    three = two.join(side("c"), SENT).where("c_etype = t3 and c_start > a_end and c_m_idx > b_m_idx and c_start >= b_start")
-    filled = F.replace(F.replace(F.replace("pattern", F.lit("{e1}"), F.col("a_text")), F.lit("{e2}"), F.col("b_text")), F.lit("{e3}"), F.col("c_text"))
-    met = three.join(sentences.select(*SENT, "sent_text"), SENT).where(F.contains("sent_text", filled))
-    order = F.struct("a_m_idx", "b_m_idx", "c_m_idx")
-    best = met.groupBy(*SENT, "tmpl_id").agg(F.min_by(F.struct(F.col("a_text").alias("e1"), F.col("relation").alias("rel"), F.col("b_text").alias("e2")), order).alias("t"))
-    return best.select(*SENT, "tmpl_id", "t.*", F.lit("template").alias("technique"))
-
-
-def _spans(tokens: DataFrame, generic=lx.GENERIC_NOUNS) -> DataFrame:
-    """Each token's name: itself, cleaned, if it is an entity; else joined with its compound children; else itself, if it can be a name."""
-    kids = tokens.where("dep = 'compound'").select(*SENT, F.col("head_i").alias("tok_i"), F.struct(F.col("tok_i").alias("i"), "text").alias("kid"))
-    kids = kids.groupBy(*SENT, "tok_i").agg(F.collect_list("kid").alias("kids"))
-    rows = tokens.join(kids, [*SENT, "tok_i"], "left")
-    parts = F.array_sort(F.concat("kids", F.array(F.struct(F.col("tok_i").alias("i"), "text"))))
-    rows = once(rows, own=tx.clean_mention(F.col("text")), joined=tx.clean_mention(F.array_join(F.transform(parts, lambda p: p["text"]), "")), bare=tx.trim(F.col("text")))
-    bare = F.col("bare")
-    plain = F.when(bare.rlike(f"[{tx.CJK}]") & (F.length(bare) >= 2) & ~bare.isin(*generic), bare)
-    entity = F.when(tx.is_valid_mention(F.col("own"), generic), F.col("own"))
-    joined = F.when(F.col("kids").isNotNull() & tx.is_valid_mention(F.col("joined"), generic), F.col("joined"))
-    rows = once(rows, name=F.when(F.col("ent_type").isin(*lx.MODEL_LABELS), entity).otherwise(F.coalesce(joined, plain)))
-    rows = once(rows, name=F.when(tx.is_valid_mention(F.col("name"), generic), F.col("name")))
-    return rows.select(*SENT, "tok_i", "dep", "head_i", "ent_type", "name")
+    """Three mentions in order whose texts, put into a template, stand in the sentence: the first ones of each template give (e1, rel, e2).
+
+    The fixed templates are tried on each sentence's array of mentions; no mention is joined with another.
+    """
+    packed = beside_text(mentions, sentences, F.struct(*MENTION))
+    found = [F.struct(F.lit(k).alias("tmpl_id"), _first_triple(pattern, rel, types).alias("t")) for k, (pattern, rel, *types) in enumerate(lx.TRIPLE_TEMPLATES)]
+    hits = packed.select(*SENT, F.inline(F.filter(F.array(*found), lambda x: x["t"].isNotNull())))
+    return hits.select(*SENT, "tmpl_id", "t.e1", "t.rel", "t.e2", F.lit("template").alias("technique"))
+
+
+def _name(t: Column, tokens: Column, generic) -> Column:
+    """A token's name: itself, cleaned, if it is an entity; else joined with its compound children; else itself; null if that can be none."""
+    valid = lambda c: F.when(tx.is_valid_mention(c, generic), c)
+    parts = F.filter(tokens, lambda k: ((k["dep"] == "compound") & (k["head_i"] == t["tok_i"])) | (k["tok_i"] == t["tok_i"]))
+    whole = lambda ps: F.when(F.size(ps) > 1, let(tx.clean_mention(F.array_join(F.transform(ps, lambda p: p["text"]), "")), valid))
+    plain = let(tx.trim(t["text"]), lambda c: F.when(c.rlike(f"[{tx.CJK}]") & (F.length(c) >= 2) & ~c.isin(*generic), valid(c)))
+    return F.when(t["ent_type"].isin(*lx.MODEL_LABELS), let(tx.clean_mention(t["text"]), valid)).otherwise(F.coalesce(let(parts, whole), plain))
 
 
 def svo_relations(tokens: DataFrame, generic=lx.GENERIC_NOUNS) -> DataFrame:
     """Subject, verb and object of annotated tokens -> (e1, rel, e2), with the first date and place of the verb beside new ones.
 
-    ``tokens`` has doc_id, sent_idx, tok_i, text, lemma, pos, dep, head_i, ent_type. Verbs are filtered by the
-    fixed lexicon first; subjects and objects join them on the sentence and the head. ``generic``: nouns that are no names.
+    ``tokens`` has doc_id, sent_idx, tok_i, text, lemma, pos, dep, head_i, ent_type. Each sentence's tokens are one
+    array, in which a verb of the fixed lexicon finds its subjects, objects, dates and places; only those get names.
+    ``generic``: nouns that are no names. ``tok_i`` is unique in its sentence.
     """
     words = F.create_map(*[F.lit(x) for pair in lx.VERB_RELATIONS.items() for x in pair])
-    rel = F.coalesce(F.try_element_at(words, F.col("lemma")), F.try_element_at(words, F.col("text")))
-    verbs = tokens.where("pos = 'VERB'").select(*SENT, F.col("tok_i").alias("verb"), rel.alias("rel")).where("rel is not null")
-    spans = _spans(tokens, generic)
-    child = lambda test, alias: spans.where(test).select(*SENT, F.col("head_i").alias("verb"), F.col("tok_i").alias(f"{alias}_i"), F.col("name").alias(alias))
-    subj = child("dep in ('nsubj', 'nsubj:pass') and name is not null", "s")
-    obj = child("dep in ('obj', 'dobj', 'attr') and name is not null", "o")
-    main = verbs.join(subj, [*SENT, "verb"]).join(obj, [*SENT, "verb"]).where("s != o")
+    rel = F.when(F.col("pos") == "VERB", F.coalesce(F.try_element_at(words, F.col("lemma")), F.try_element_at(words, F.col("text"))))
+    token = F.struct("tok_i", "text", "dep", "head_i", F.coalesce("ent_type", F.lit("")).alias("ent_type"), rel.alias("rel"))
+    packed = tokens.groupBy(*SENT).agg(F.array_sort(F.collect_list(token)).alias("ts"))
+    packed = packed.where(F.exists("ts", lambda t: t["rel"].isNotNull()))
+    named = lambda t: F.struct(t["tok_i"].alias("i"), _name(t, F.col("ts"), generic).alias("name"))
+    child = lambda v, test: F.transform(F.filter("ts", lambda t: (t["head_i"] == v["tok_i"]) & test(t)), named)
+    some = lambda xs: F.filter(xs, lambda x: x["name"].isNotNull())
+    # the first one counts, with a name or without
+    beside = lambda v, labels: F.get(child(v, lambda t: t["dep"].startswith("obl") & t["ent_type"].isin(*labels)), F.lit(0))["name"]
+    verbs = F.transform(F.filter("ts", lambda t: t["rel"].isNotNull()), lambda v: F.struct(
+        v["tok_i"].alias("verb"), v["rel"].alias("rel"), some(child(v, lambda t: t["dep"].isin("nsubj", "nsubj:pass"))).alias("ss"), some(child(v, lambda t: t["dep"].isin("obj", "dobj", "attr"))).alias("os"),
+        beside(v, lx.TIME_LABELS).alias("time"), beside(v, lx.PLACE_LABELS).alias("place"),
+    ))
+    met = packed.select(*SENT, F.inline(verbs)).select(*SENT, "verb", "rel", F.explode("ss").alias("s"), "os", "time", "place").select("*", F.explode("os").alias("o")).where("s.name != o.name")
     # the first mention of a triple in a document counts
-    order = F.struct("sent_idx", "verb", "s_i", "o_i")
-    fresh = main.groupBy("doc_id", "s", "rel", "o").agg(F.min(order).alias("at")).select("doc_id", "at.*", "s", "rel", "o")
-    sides = []
-    for labels, label in ((lx.TIME_LABELS, "成立"), (lx.PLACE_LABELS, "位于")):
-        extra = spans.where(F.col("dep").startswith("obl") & F.col("ent_type").isin(*labels)).groupBy(*SENT, F.col("head_i").alias("verb")).agg(F.min_by(F.struct("name"), "tok_i").alias("x"))
-        near = fresh.join(extra, [*SENT, "verb"]).where("x.name is not null")
-        sides.append(near.select("doc_id", "sent_idx", F.col("s").alias("e1"), F.lit(label).alias("rel"), F.col("x.name").alias("e2")))
-    rows = fresh.select("doc_id", "sent_idx", F.col("s").alias("e1"), "rel", F.col("o").alias("e2")).union(sides[0]).union(sides[1])
+    order = F.struct("sent_idx", "verb", F.col("s.i").alias("s_i"), F.col("o.i").alias("o_i"), "time", "place")
+    fresh = met.groupBy("doc_id", F.col("s.name").alias("s"), "rel", F.col("o.name").alias("o")).agg(F.min(order).alias("at"))
+    fact = lambda r, e2: F.struct(F.col("s").alias("e1"), r.alias("rel"), e2.alias("e2"))
+    facts = F.array(fact(F.col("rel"), F.col("o")), fact(F.lit("成立"), F.col("at.time")), fact(F.lit("位于"), F.col("at.place")))
+    rows = fresh.select("doc_id", F.col("at.sent_idx").alias("sent_idx"), F.inline(facts)).where("e2 is not null")
     return rows.groupBy("doc_id", "e1", "rel", "e2").agg(F.min("sent_idx").alias("sent_idx")).withColumn("technique", F.lit("dep"))
 
 

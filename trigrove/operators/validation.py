@@ -12,7 +12,7 @@ VERDICT = "struct<index:int,valid:boolean,reason:string,correction:array<string>
 
 def validation_batches(triples: DataFrame, source_chars: int = 1000) -> DataFrame:
     """``triples(batch_id, ordinal, e1, rel, e2, source)`` -> batch_id, n, request. Batches are what one request holds."""
-    ranked = triples.withColumn("idx", F.row_number().over(Window.partitionBy("batch_id").orderBy("ordinal")))
+    ranked = triples.withColumn("idx", F.row_number().over(Window.partitionBy("batch_id").orderBy("ordinal", "e1", "rel", "e2")))
     line = F.concat(F.col("idx").cast("string"), F.lit(". ["), F.concat_ws(", ", "e1", "rel", "e2"), F.lit("]"))
     packed = ranked.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))).alias("ls"), F.min_by("source", "idx").alias("source"))
     text = F.array_join(F.transform("ls", lambda x: x["line"]), "\n")

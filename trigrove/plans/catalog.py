@@ -38,6 +38,10 @@ def _scratch(spark: SparkSession) -> str:
     return f"{top}/files-{uuid.uuid4().hex}"
 
 
+def _recursive(ctes: str) -> str:
+    return ctes.replace("with ", "with recursive ", 1)
+
+
 T, D, P = with_inputs("triples"), with_inputs("dirty"), with_inputs("prose")
 
 
@@ -240,7 +244,7 @@ def _gazetteer(spark, sf):
 
 _GAZ = """gaz as (select n_name as name, '地名' as etype from nation union select '客户' || c_custkey, '组织名' from customer union select '产品' || (c_custkey % 50), '产品名' from customer union select '供应商' || (c_custkey % 97), '组织名' from customer)
 , gm as (select s.doc_id, s.sent_idx, g.name as text, g.etype, (p - 1)::int as start, (p - 1 + length(g.name))::int as "end" from (select *, unnest(range(1, length(sent_text) + 1)) as p from st) s, (select distinct length(name) as n from gaz) l, gaz g
-  where g.name = substr(s.sent_text, p, l.n) and length(g.name) = l.n)"""
+  where g.name = substr(s.sent_text, p, l.n) and p + l.n - 1 <= length(s.sent_text))"""
 _GM = f"{P}, st as (select * from {duck.sentences('prose')}), {_GAZ}"
 
 
@@ -270,9 +274,9 @@ def _tokens(spark, sf):
     return flat.withColumn("char_start", F.col("tok_i") * 6)
 
 
-@query()
+@query(f"{_recursive(with_inputs('annotated'))}, {duck.TOKEN_MENTIONS} select * from token_names")
 def token_mentions(spark, sf):
-    return mentions.token_mentions(_tokens(spark, sf))
+    return mentions.token_mentions(read(spark, sf, "annotated"))
 
 
 @query(f"{with_inputs('names')} select name, {duck.clean_mention('name')} as cleaned from names")
@@ -293,20 +297,27 @@ def infer_person_type(spark, sf):
     return read(spark, sf, "names").select("name", tx.infer_person_type(F.col("name"), F.expr(_KIND)).alias("etype"))
 
 
-@query()
+_FM = f"{_recursive(_GM)}, {duck.FUSED}"
+
+
+@query(f"{_FM} select * from fm")
 def merge_adjacent_mentions(spark, sf):
     return _numbered(spark, sf)[0]
 
 
-@query()
+@query(f"{_FM} {duck.matched(duck.pairs('fm', 'a.m_idx < b.m_idx and a.etype <> ' + duck.quote('时间') + ' and b.etype <> ' + duck.quote('时间')), 25, tx.CLAUSE_END)}")
 def pair_relations(spark, sf):
     return relations.pair_relations(*_numbered(spark, sf))
 
 
-@query()
+_DATED = "dated as (select * replace (case when m_idx > 0 and (text like '产品%' or text like '供应商%') then '时间' else etype end as etype) from fm)"
+
+
+@query(f"{_FM}, {_DATED} {duck.matched(duck.pairs('dated', 'a.etype <> ' + duck.quote('时间') + ' and b.etype = ' + duck.quote('时间')), 15)}")
 def time_pair_relations(spark, sf):
     found, sents = _numbered(spark, sf)
-    dated = found.withColumn("etype", F.when((F.col("m_idx") > 0) & F.col("text").startswith("产品"), "时间").otherwise(F.col("etype")))
+    late = F.col("text").startswith("产品") | F.col("text").startswith("供应商")
+    dated = found.withColumn("etype", F.when((F.col("m_idx") > 0) & late, "时间").otherwise(F.col("etype")))
     return relations.time_pair_relations(dated, sents)
 
 
@@ -325,18 +336,21 @@ def type_compat_relations(spark, sf):
     return relations.type_compat_relations(_types(spark, sf))
 
 
-@query()
+@query(f"{_FM}, {duck.typed_pairs(duck.pairs('fm', 'a.m_idx <> b.m_idx'))}")
 def typed_template_pairs(spark, sf):
     return relations.typed_template_pairs(*_numbered(spark, sf))
 
 
-@query()
+_POSTS = "select cast(c_custkey as bigint) as doc_id, 0 as sent_idx, '王小明在组织' || cast(c_custkey % 9 as string) || '担任主管，组织' || cast(c_custkey % 9 as string) || '由李大同于1990年创立' as sent_text from customer"
+_POST_NAMES = [("王小明", "人名"), ("主管", "职位"), ("李大同", "人名"), ("1990年", "时间"), *[(f"组织{k}", "组织名") for k in range(9)]]
+_POST_SQL = _FM[_FM.index("gm as") :]
+
+
+@query(f"with recursive st as ({_POSTS}), gaz as (select * from (values {', '.join(map(str, _POST_NAMES))}) v(name, etype)), {_POST_SQL} {duck.typed_triples('fm')}")
 def typed_template_triples(spark, sf):
-    raw = read(spark, sf, "customer").select(
-        F.col("c_custkey").alias("doc_id"), F.lit(0).alias("sent_idx"), F.concat(F.lit("王小明在组织"), (F.col("c_custkey") % 9).cast("string"), F.lit("担任主管，组织"), (F.col("c_custkey") % 9).cast("string"), F.lit("由李大同于1990年创立")).alias("sent_text")
-    )
-    rows = [("王小明", "人名"), ("主管", "职位"), ("李大同", "人名"), ("1990年", "时间"), *[(f"组织{k}", "组织名") for k in range(9)]]
-    found = mentions.gazetteer_mentions(raw, spark.createDataFrame(rows, "name string, etype string"))
+    read(spark, sf, "customer").createOrReplaceTempView("customer")
+    raw = spark.sql(_POSTS)
+    found = mentions.gazetteer_mentions(raw, spark.createDataFrame(_POST_NAMES, "name string, etype string"))
     return relations.typed_template_triples(mentions.merge_adjacent_mentions(found, raw), raw)
 
 
@@ -496,11 +510,11 @@ def extract_triples(spark, sf):
 # Validation
 
 
-@query(f"""{with_inputs('keyed')}, r as (select *, row_number() over (partition by batch_id order by ordinal, e1, e2) as idx from (select batch_id, ordinal * 100 + length(e2) as ordinal, e1, rel, e2 from keyed))
-select batch_id, count(*)::int as n from r group by all""")
+@query(f"""{with_inputs('keyed')}, r as (select *, row_number() over (partition by batch_id order by ordinal, e1, rel, e2) as idx from keyed)
+select batch_id, count(*)::int as n, string_agg(idx || '. [' || e1 || ', ' || rel || ', ' || e2 || ']', chr(10) order by idx) || chr(10) || '---' || chr(10) || substr('source ' || arg_min(e1, idx), 1, 1000) as request from r group by batch_id""")
 def validation_batches(spark, sf):
     rows = read(spark, sf, "keyed").withColumn("source", F.concat(F.lit("source "), "e1"))
-    return validation.validation_batches(rows).select("batch_id", "n")
+    return validation.validation_batches(rows)
 
 
 _VERDICTS = """v as (select batch_id, 0 as pos, 1 as idx, false as valid, 'x' as reason, null as c1, 0 as c from b where batch_id % 4 = 0 union all select batch_id, 1, 2, false, null, '甲', 3 from b where batch_id % 4 = 0
@@ -618,9 +632,14 @@ def viz_edges(spark, sf):
     return graph.viz_edges(read(spark, sf, "dirty"))
 
 
-@query(_viz_nodes_sql("contains(e1, 'NATION_3') or contains(e2, 'NATION_3')"))
+@query(
+    f"""select 'node' as kind, id as name, '' as target, '' as label, idx from ({_viz_nodes_sql("contains(e1, 'NATION_3') or contains(e2, 'NATION_3')")})
+union all select 'edge', "from", "to", label, null from ({T} select e1 as "from", e2 as "to", max(struct_pack(o := ordinal, rel := rel)).rel as label from triples where contains(e1, 'NATION_3') or contains(e2, 'NATION_3') group by all)"""
+)
 def search_subgraph(spark, sf):
-    return graph.search_subgraph(read(spark, sf, "triples"), "NATION_3")[0]
+    nodes, edges = graph.search_subgraph(read(spark, sf, "triples"), "NATION_3")
+    node = nodes.select(F.lit("node").alias("kind"), F.col("id").alias("name"), F.lit("").alias("target"), F.lit("").alias("label"), "idx")
+    return node.union(edges.select(F.lit("edge"), "from", "to", "label", F.lit(None).cast("bigint")))
 
 
 # Triple table

@@ -38,11 +38,24 @@ select ordinal as doc_id, case ordinal % 5 when 0 then '```json [["' || e1 || '"
 select batch_id, case batch_id % 4 when 0 then '[{"index": 1, "valid": false, "reason": "x"}, {"index": 2, "valid": false, "correction": ["甲", "位于", "乙"]}, {"index": 999999, "valid": false}]'
   when 1 then '```json\n[{"index": 1}, {"index": 3, "valid": true, "reason": "ok"}]\n```' when 2 then 'bad [' else '[{"index": 2, "valid": false, "correction": ["丙"]}]' end as response
 from (select distinct batch_id from keyed) as b""",
+    "line_of": """
+select cast(l_orderkey as bigint) as doc_id, cast(l_linenumber as int) as sent_idx, min(l_suppkey) as s, min(l_partkey) as p from lineitem group by l_orderkey, l_linenumber""",
+    "annotated": """
+select doc_id, sent_idx, 0 as tok_i, 0 as char_start, '供应商' || cast(s % 90 as string) as text, 'PROPN' as pos, 'nsubj' as dep, 1 as head_i, 'ORG' as ent_type from line_of
+union all select doc_id, sent_idx, 1, 8, case s % 3 when 0 then '生产' when 1 then '研发' else '走' end, 'VERB', 'ROOT', 1, '' from line_of
+union all select doc_id, sent_idx, 2, 10, cast(2000 + p % 30 as string), 'NUM', 'nummod', 3, 'ORG' from line_of
+union all select doc_id, sent_idx, 3, 14, '华为', 'PROPN', case when p % 4 = 0 then 'nmod' else 'compound:nn' end, 4, case when s % 4 = 0 then '' else 'ORG' end from line_of
+union all select doc_id, sent_idx, 4, 16, '零件' || cast(p % 7 as string), 'NOUN', 'compound:nn', 5, '' from line_of
+union all select doc_id, sent_idx, 5, 19, case p % 3 when 0 then '技术部' when 1 then '研究院' else '项目' end, 'NOUN', 'obj', 1, '' from line_of
+union all select doc_id, sent_idx, 6, 22, '业务科', 'NOUN', 'compound:nn', case when s % 5 < 2 then 5 else 9 end, '' from line_of
+union all select doc_id, sent_idx, 7, 25, cast(1990 + s % 30 as string) || '年', 'NOUN', 'obl', 1, 'DATE' from line_of
+union all select doc_id, sent_idx, 8, 30, case when p % 5 = 0 then 'Beijing' else '北京' end, 'PROPN', 'obl', 1, case when s % 6 = 0 then '' else 'GPE' end from line_of
+union all select doc_id, sent_idx, 9, 37, case when p % 2 = 0 then '主管处' else '李明' end, case when p % 2 = 0 then 'NOUN' else 'PROPN' end, case when s % 7 = 0 then 'compound:nn' else 'dep' end, 5, case when p % 11 = 0 then 'PERSON' else '' end from line_of""",
     "edits": """
 select ordinal as row_id, e1 || '改' as e1, rel, e2 from triples where ordinal % 10 = 0 union all select -1, 'x', 'y', 'z'""",
 }
 #: Inputs that an input builds on.
-NEEDS = {"dirty": ("triples",), "names": ("triples", "dirty"), "techniques": ("triples",), "keyed": ("triples",), "responses": ("triples",), "verdict_texts": ("triples", "keyed"), "edits": ("triples",)}
+NEEDS = {"dirty": ("triples",), "names": ("triples", "dirty"), "techniques": ("triples",), "keyed": ("triples",), "responses": ("triples",), "verdict_texts": ("triples", "keyed"), "edits": ("triples",), "annotated": ("line_of",)}
 
 
 def with_inputs(*names: str) -> str:
