@@ -159,5 +159,3 @@ NO_FACTS = (
     ("创建", ("场所", "化学式", "骨组织", "外卖", "世民", "祖朱", "元璋", "清太", "祖努尔"), ()),
     ("发明", (), ("发明",)),
 )
-
-GRAPH_COLOURS = 12

@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trigrove.functions.tables import stored
+
+#: ``monotonically_increasing_id`` has the partition above this bit and the row's place in it below.
+PLACE_BITS = 33
+
 
 def dense_number(df: DataFrame, order: str, out: str, ties: tuple[str, ...] = (), parts: int | None = None, start: int = 1) -> DataFrame:
-    """Number the rows from ``start`` by the numeric column ``order``, then ``ties`` (together unique, to be repeatable).
+    """Number the rows from ``start`` by ``order``, then ``ties`` (together unique, to be repeatable); nulls come first.
 
-    Approximate quantiles, found once, cut the rows into ranges; each range is numbered by itself and lifted by
-    the rows in the ranges before it. Only one number for each range meets in one place. There are as many ranges as
-    shuffles have partitions, unless ``parts`` says otherwise.
+    The rows are dealt by range, with bounds from a sample, and each range is sorted, and written with every row's
+    range and place. The counts of the ranges then lift each row's place; only these counts meet in one task. A
+    value of ``order`` that most rows share is cut by ``ties``. ``df`` is evaluated twice (once for the sample).
+    There are as many ranges as shuffles have partitions, unless ``parts`` says otherwise.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = [] if parts < 2 or df.isEmpty() else sorted(set(df.approxQuantile(order, [k / parts for k in range(1, parts)], 0.5 / parts)))
-    part = reduce(lambda a, b: a + b, [(F.col(order) > c).cast("int") for c in cuts], F.lit(0))
-    cut = df.withColumn("_part", F.coalesce(part, F.lit(-1)))
-    ranked = cut.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order, *ties)))
+    dealt = df.repartitionByRange(parts, order, *ties).sortWithinPartitions(order, *ties)
+    rows = stored(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_at", PLACE_BITS)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    lift = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_lift"))
-    return ranked.join(F.broadcast(lift), "_part").withColumn(out, (F.col("_at") + F.col("_lift") - 1 + start).cast("long")).drop("_part", "_at", "_lift")
+    lift = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_lift"))
+    lifted = rows.withColumn("_part", part).join(F.broadcast(lift), "_part")
+    return lifted.withColumn(out, F.col("_lift") + F.col("_at").bitwiseAND((1 << PLACE_BITS) - 1) + start).drop("_part", "_at", "_lift")

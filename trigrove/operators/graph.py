@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trigrove.functions.numbering import dense_number
+from trigrove.operators.grams import texts_with_words
 
 # The colours that nodes take in turn.
 PALETTE = ("#FF6B6B", "#4ECDC4", "#45B7D1", "#96CEB4", "#FFEAA7", "#DDA0DD", "#98D8C8", "#F7DC6F", "#BB8FCE", "#85C1E9", "#F0B27A", "#82E0AA")
 NODE_SIZE = 20
-#: So many keywords at most are sent to all tasks; more go through an index of two-character parts.
+#: So many keywords at most are sent to all tasks; more go through an index of short parts.
 BROADCAST_WORDS = 1000
 
 
@@ -53,18 +54,15 @@ def search_keyword(edges: DataFrame, keyword: str) -> DataFrame:
 def search_keywords(edges: DataFrame, keywords: DataFrame) -> DataFrame:
     """``keywords(keyword)`` -> keyword beside each edge that has it in an end, all in one pass.
 
-    Few keywords (counted) are tested against every edge. Otherwise names of which some two-character part
-    equals the keyword's first one are found by an equi-join and then tested; one-character words stay few.
+    Few keywords (counted) are tested against every edge. Otherwise the names that hold a keyword are found by its
+    rarest short part, so that a beginning that all names share costs nothing.
     """
     words = keywords.where("keyword != ''").distinct()
     hit = lambda name: F.contains(F.col(name), F.col("keyword"))
     if words.count() <= BROADCAST_WORDS:
         return edges.join(F.broadcast(words), hit("entity1") | hit("entity2"))
-    names = edges.select(F.explode(F.array("entity1", "entity2")).alias("name")).distinct()
-    parts = names.select("name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 1, F.lit(1))), lambda k: F.col("name").substr(k, F.lit(2))))).alias("part"))
-    long_ = parts.join(words.where("length(keyword) >= 2").withColumn("part", F.substring("keyword", 1, 2)), "part").where(hit("name"))
-    short = names.withColumn("keyword", F.explode(F.array_distinct(F.split("name", "")))).join(words, "keyword", "left_semi")
-    found = long_.select("keyword", "name").union(short.select("keyword", "name")).distinct()
+    names = edges.select(F.explode(F.array("entity1", "entity2")).alias("text"))
+    found = texts_with_words(names, words.select(F.col("keyword").alias("word"))).select(F.col("word").alias("keyword"), F.col("text").alias("name"))
     one = edges.join(found.withColumnRenamed("name", "entity1"), "entity1")
     two = edges.join(found.withColumnRenamed("name", "entity2"), "entity2")
     return one.unionByName(two).select(*edges.columns, "keyword").distinct()

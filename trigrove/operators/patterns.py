@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trigrove.functions import lexicon as lx
 from trigrove.functions import text as tx
+from trigrove.operators.grams import texts_with_words
 
 RULE_SCHEMA = "rule_id int, relation string, pattern string, trigger string, reverse boolean"
 
@@ -58,12 +59,28 @@ def _apply_fixed(clauses: DataFrame, rows: list[tuple], technique: str) -> DataF
 BROADCAST_RULES = 10_000
 
 
+def _candidates(clauses: DataFrame, rules: DataFrame) -> DataFrame:
+    """Each clause beside the rules whose words it holds.
+
+    A table of at most BROADCAST_RULES rules is broadcast. Of a larger one, rules and clauses meet by the rarest
+    short part of a rule's words, so that no rule sees a clause without it; only rules without any words, which
+    have to be tried on every clause, are broadcast then, and must not be more.
+    """
+    if rules.count() <= BROADCAST_RULES:
+        return clauses.join(F.broadcast(rules), F.expr("contains(clause, trigger)"))
+    wordless = rules.where("trigger = ''")
+    if wordless.count() > BROADCAST_RULES:
+        raise ValueError(f"more than {BROADCAST_RULES} rules have no trigger")
+    hits = texts_with_words(clauses.select(F.col("clause").alias("text")), rules.select(F.col("trigger").alias("word")))
+    met = clauses.join(hits.withColumnRenamed("text", "clause"), "clause").join(rules, F.col("word") == F.col("trigger")).drop("word")
+    rest = clauses.join(F.broadcast(wordless), F.expr("contains(clause, trigger)"))
+    return met.select(rest.columns).unionByName(rest)
+
+
 def _apply(clauses: DataFrame, rules: DataFrame, technique: str) -> DataFrame:
-    """All matches of all rules; a rule is only tried on clauses that hold its words. A table of at most BROADCAST_RULES rules is broadcast."""
+    """All matches of all rules; a rule is only tried on clauses that hold its words."""
     keep = [c for c in clauses.columns if c != "clause"]
-    if rules.count() <= BROADCAST_RULES:
-        rules = F.broadcast(rules)
-    met = clauses.join(rules, F.expr("contains(clause, trigger)"))
+    met = _candidates(clauses, rules)
     found = F.arrays_zip(F.regexp_extract_all("clause", "pattern", F.lit(1)).alias("left"), F.regexp_extract_all("clause", "pattern", F.lit(2)).alias("right"))
     rows = met.select(*keep, "rule_id", "relation", "reverse", F.posexplode(found).alias("match_idx", "m"))
     left, right = F.col("m.left"), F.col("m.right")

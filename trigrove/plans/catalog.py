@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +9,14 @@ from pyspark.sql import functions as F
 
 from trigrove.functions import lexicon as lx
 from trigrove.functions import text as tx
+from trigrove.functions.tables import scratch
 from trigrove.operators import cleaning, graph, mentions, model, patterns, relations, table, text, validation
 from trigrove.plans import duck
 from trigrove.plans.inputs import read, with_inputs
 from trigrove.plans.pipeline import extract_triples as run_extraction
 from trigrove.sources import files
+from trigrove.sources.store import KeyedStore
+from trigrove.streaming.merge import EDGES, NODES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,9 +34,7 @@ def query(sql: str | None = None):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="trigrove-")
-    return f"{top}/files-{uuid.uuid4().hex}"
+    return scratch(spark, "files")
 
 
 def _recursive(ctes: str) -> str:
@@ -88,12 +87,17 @@ def write_triples_overwrite(spark, sf):
     return files.merged_triples(rows.where("ordinal % 2 != 0"), rows, "overwrite")
 
 
+def _merged_twice(spark, rows: DataFrame, schema: str, keys: list[str]) -> DataFrame:
+    """A store that got a part of the rows first, then all of them."""
+    store = KeyedStore(spark, _scratch(spark), schema, keys)
+    store.merge(rows.where(F.abs(F.xxhash64(*keys)) % 3 == 0))
+    store.merge(rows)
+    return store.read()
+
+
 @query(f"{T} select e1, rel, e2, min(ordinal) as ordinal from triples group by all")
 def write_triples_stored(spark, sf):
-    path, rows = _scratch(spark), read(spark, sf, "triples")
-    for k in range(2):
-        files.write_triples(rows.where(F.col("rel").isin("位于", "属于") if k == 0 else F.lit(True)), path, "append")
-    return spark.read.parquet(path)
+    return _merged_twice(spark, read(spark, sf, "triples"), "e1 string, rel string, e2 string, ordinal long", ["e1", "rel", "e2"])
 
 
 _ESC = "replace(replace(replace({0}, '\\', '\\\\'), '''', '\\'''), '\"', '\\\"')"
@@ -577,6 +581,16 @@ def merge_edges(spark, sf):
     return graph.merge_edges(new, graph.graph_edges(old))
 
 
+@query(f"{T} select e1 as name from triples union select e2 from triples")
+def merge_nodes_stored(spark, sf):
+    return _merged_twice(spark, graph.graph_nodes(read(spark, sf, "triples")), *NODES)
+
+
+@query(f"{T} select distinct e1 as entity1, rel as relation, e2 as entity2 from triples")
+def merge_edges_stored(spark, sf):
+    return _merged_twice(spark, graph.graph_edges(read(spark, sf, "triples")), *EDGES)
+
+
 @query(f"{T} select ((row_number() over (order by ordinal, e1, rel, e2) - 1) // 500)::int as batch, rel, 1 as one from triples".replace("select ((", "select batch, rel, count(*) as n_rows from (select ((").replace(", 1 as one from triples", " from triples) group by all"))
 def import_plan(spark, sf):
     return graph.import_plan(read(spark, sf, "triples"))
@@ -691,3 +705,10 @@ def page(spark, sf):
 @query(f"{T} select * from triples order by ordinal, e1, rel, e2 limit 50")
 def preview(spark, sf):
     return table.preview(read(spark, sf, "triples"))
+
+
+@query(f"{T} select *, row_number() over (order by ordinal, e1, rel, e2) - 1 as row_id from triples order by ordinal, e1, rel, e2 limit 20 offset 6000")
+def page_by_id(spark, sf):
+    path = _scratch(spark)
+    table.write_pages(read(spark, sf, "triples"), path)
+    return table.page_by_id(spark.read.parquet(path), 301)

@@ -26,7 +26,7 @@ def extract_triples(docs: DataFrame, size: int = 2000, overlap: int = 200, final
     found = patterns.rule_extract(clauses).unionByName(patterns.template_extract(clauses))
     merged = relations.merge_by_priority(_ordinal(found))
     expanded = cleaning.expand_conjunctions(merged.select("doc_id", "ordinal", "e1", "rel", "e2"))
-    out = cleaning.clean_triples(cleaning.dedupe_normalized(expanded, ("doc_id",)))
+    out = cleaning.clean_triples(cleaning.dedupe_normalized(expanded, ("doc_id",)), by_name=False)
     if final_distinct:
         out = out.groupBy("doc_id", "e1", "rel", "e2").agg(F.min("ordinal").alias("ordinal"))
     return out.select("doc_id", "ordinal", "e1", "rel", "e2")
