@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from trigrove.llm.common import materialize, numbered, running_total, table
 
 SHARDS = 8
-#: Groups of more than a quota divided by this are placed first, on the driver: at most SHARDS * BIG of them.
-BIG = 1024
+#: Groups of more than a quota divided by this are placed first, on the driver: fewer than SHARDS * BIG of them, at every size of the table.
+BIG = 16
 
 
 def _facts(docs: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     ranked = numbered(facts, [], F.xxhash64("doc_id", "group"), ["doc_id", "group"], "_rank", 4096)
     dealt = ranked.join(groups, "group").select("doc_id", "size", "text_crc32", (F.col("_rank") % shards).cast("int").alias("shard"), F.when(F.col("_n") > 1, F.col("group")).alias("hub"), "_n", "_rank")
     dealt = materialize(dealt)
-    large = max(1, total // shards // BIG)
+    large = total // shards // BIG
     room = dict(quota)
     votes = materialize(dealt.where("hub is not null").groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n")))
     whole = materialize(votes.groupBy("hub").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("there")))
