@@ -124,29 +124,36 @@ SURNAMES = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋
 ORG_SUFFIXES = ("公司", "集团", "企业", "银行", "大学", "学院", "医院", "部门", "研究所", "研究院", "中心", "基金", "协会")
 
 GENERIC_ENTITIES = tuple(
-    """公司 总部 组织 机构 企业 集团 部门 单位 信息 技术 科技 科学 工程 产业 行业 领域 工业 农业 商业 服务业 制造业 系统 平台 产品 服务 方案 项目
-    方面 方式 方法 手段 途径 渠道 问题 情况 现象 过程 结果 影响 条件 因素 特点 优势 功能 特性 世纪 年代 时期 阶段 时代 一生 展开 起来 下来 上去 出来
-    分泌 免疫 内分泌 极速版 火山版 常用于化工 常用于工业 常用于 三角洲 盆地 平原 高原 山脉 沙漠 雨林 北部 南部 东部 西部 中部 东南部 西北部 交界处 边境 南北方
-    电路板 电镀 镀锌 玻璃 印刷电路板 最后 基础 等领域 等方面 社交 软件 食品 加工 合金 电池 钢铁 不锈钢 镁合金 融雪剂 试剂 短视 频平台 轻量化 电商 外卖
-    生活 视频 作曲家 首都 代表作可用于 期间 发明 专利 创始人 场所 元素 硬盘 键盘 鼠标 显示器 打印机 为清朝的 奠定了基础 常用于玻璃 食品加工 色列
-    信念 世界观 个性 心理 特征 能力 气质 性格 态度 部件 名称 传递 文艺 发展 关系 总和 上层 建筑 阶级 意识 形态 制度 地位 社会 传承 文化 要素
-    认知 倾向性 需要 动机 兴趣 理想 感觉 知觉 记忆 思维 想象 定律 矛盾 群众 人们 资料 所有制 形式 分配 城市 分区 商业区 住宅区 工业区 行政区 文化区
-    研究 研究法 研究人 法学 宪法 教育学 心理学 主要从事非农业 济各部门提供物质技术基础的主要 阶级是指在 生产关系是人们在物质 济基础是指由社会一定发展阶段的
-    活动 模式 增长 标志 比重 总人口 亚热带季 温带季 海洋性 朗玛峰""".split()
+    (
+    "公司", "总部", "组织", "机构", "企业", "集团", "部门", "单位", "信息", "技术", "科技", "科学", "工程", "产业", "行业", "领域", "工业", "农业", "商业", "服务业", "制造业", "系统", "平台", "产品",
+    "服务", "方案", "项目", "方面", "方式", "方法", "手段", "途径", "渠道", "问题", "情况", "现象", "过程", "结果", "影响", "条件", "因素", "特点", "优势", "功能", "特性", "世纪", "年代", "时期",
+    "阶段", "时代", "一生", "展开", "起来", "下来", "上去", "出来", "分泌", "免疫", "内分泌", "极速版", "火山版", "常用于化工", "常用于工业", "常用于", "三角洲", "盆地", "平原", "高原", "山脉", "沙漠",
+    "雨林", "北部", "南部", "东部", "西部", "中部", "东南部", "西北部", "交界处", "边境", "南北方", "电路板", "电镀", "镀锌", "玻璃", "印刷电路板", "最后", "基础", "等领域", "等方面", "社交", "软件",
+    "食品", "加工", "合金", "电池", "钢铁", "不锈钢", "镁合金", "融雪剂", "试剂", "短视", "频平台", "轻量化", "电商", "外卖", "生活", "视频", "作曲家", "首都", "代表作可用于", "期间", "发明", "专利",
+    "创始人", "场所", "元素", "硬盘", "键盘", "鼠标", "显示器", "打印机", "为清朝的", "奠定了基础", "常用于玻璃", "食品加工", "色列", "信念", "世界观", "个性", "心理", "特征", "能力", "气质", "性格", "态度",
+    "部件", "名称", "传递", "文艺", "发展", "关系", "总和", "上层", "建筑", "阶级", "意识", "形态", "制度", "地位", "社会", "传承", "文化", "要素", "认知", "倾向性", "需要", "动机", "兴趣", "理想",
+    "感觉", "知觉", "记忆", "思维", "想象", "定律", "矛盾", "群众", "人们", "资料", "所有制", "形式", "分配", "城市", "分区", "商业区", "住宅区", "工业区", "行政区", "文化区", "研究", "研究法", "研究人",
+    "法学", "宪法", "教育学", "心理学", "主要从事非农业", "济各部门提供物质技术基础的主要", "阶级是指在", "生产关系是人们在物质", "济基础是指由社会一定发展阶段的", "活动", "模式", "增长", "标志", "比重", "总人口", "亚热带季",
+    "温带季", "海洋性", "朗玛峰",
+)
 )
 
 #: Nouns that are no names; another list is a parameter of the mention operators and of svo_relations.
 GENERIC_NOUNS = tuple(
-    """所有 日常 工作 整体 业务 事务 服务 售后 前端 后端 软件 硬件 测试 开发 运营 管理 采购 绩效 薪酬 核算 招聘 考勤 请假 加班 报销 保密 出差 办公 会议室 印章
-    档案 安全 网络 培训 平面 视频 运动 休闲 养生 健身 兼职 编程 剪辑 口译 笔译 客服 营销 销售 上传 下单 生产 安装 维修 装备 钢带 管材 薄板 炼钢 涂装 润滑 夹具
-    模具 量具 图纸 会计 出纳 法务 法律 税务 审计 文案 设计 推广 媒体 广告 活动 方案 流程 制度 规范 条例 办法 计划 进度 预算 成本 报价 合同 发票 单据 凭证 台账
-    资产 设备 设施 办公用品 办公设备 监控设备 网络设备 空调设备 状态 资料 文件 文档 数据 信息 通知 公告 申请 审批 审核 核准 批准 检验 验收 验收单 入库 出库 领用
-    借用 归还 报修 报废 客户 供应 合作 资源 成果 表 单 并发 实时 期末 工种 工序 工位 项目 上下 正式 标准 内件 拆 框 员工 主任 主管 总监 经理 部长 总裁 应聘
-    对象 平台 区域 方面 部分 高精密 精细 高度 突发 附加 特殊 总部 旗下 费用 产品 部门 中心 催收 奋进 团结 创新 务实 效益 质量 保障 文化 愿景 使命 目标 诚信
-    责任 担当 防控 管控 合规 检查 监督 机制 体系 能力 水平 素质 意识 效率 执行力 演示文稿 幻灯片 日报 周报 月报 年报 产品线 版本 行业 领域 系统 等级 规格 类型
-    组装 包装 检测 存储 余额 往来 计提 折旧 摊销 税费 付款 收款 结算 汇款 退款 充值 请假条 加班单 出差单 报销单 采购单 订单 入库单 出库单 退货 索赔 投诉 议案
-    题案 议题 纪要 决议 结论 辅导 带教 实习 试用 转正 晋升 调岗 调薪 降职 免职 辞退 裁员 入职 离职 调休 社保 公积金 五险一金 一金 节日 福利 团队 建设 拓展 实施
-    执行 优化 改进 升级 完善 晚餐 餐费 交通 住宿 办公区 办公区域 用品 场所 需求 分析""".split()
+    (
+    "所有", "日常", "工作", "整体", "业务", "事务", "服务", "售后", "前端", "后端", "软件", "硬件", "测试", "开发", "运营", "管理", "采购", "绩效", "薪酬", "核算", "招聘", "考勤", "请假", "加班",
+    "报销", "保密", "出差", "办公", "会议室", "印章", "档案", "安全", "网络", "培训", "平面", "视频", "运动", "休闲", "养生", "健身", "兼职", "编程", "剪辑", "口译", "笔译", "客服", "营销", "销售",
+    "上传", "下单", "生产", "安装", "维修", "装备", "钢带", "管材", "薄板", "炼钢", "涂装", "润滑", "夹具", "模具", "量具", "图纸", "会计", "出纳", "法务", "法律", "税务", "审计", "文案", "设计",
+    "推广", "媒体", "广告", "活动", "方案", "流程", "制度", "规范", "条例", "办法", "计划", "进度", "预算", "成本", "报价", "合同", "发票", "单据", "凭证", "台账", "资产", "设备", "设施", "办公用品",
+    "办公设备", "监控设备", "网络设备", "空调设备", "状态", "资料", "文件", "文档", "数据", "信息", "通知", "公告", "申请", "审批", "审核", "核准", "批准", "检验", "验收", "验收单", "入库", "出库", "领用",
+    "借用", "归还", "报修", "报废", "客户", "供应", "合作", "资源", "成果", "表", "单", "并发", "实时", "期末", "工种", "工序", "工位", "项目", "上下", "正式", "标准", "内件", "拆", "框", "员工",
+    "主任", "主管", "总监", "经理", "部长", "总裁", "应聘", "对象", "平台", "区域", "方面", "部分", "高精密", "精细", "高度", "突发", "附加", "特殊", "总部", "旗下", "费用", "产品", "部门", "中心",
+    "催收", "奋进", "团结", "创新", "务实", "效益", "质量", "保障", "文化", "愿景", "使命", "目标", "诚信", "责任", "担当", "防控", "管控", "合规", "检查", "监督", "机制", "体系", "能力", "水平",
+    "素质", "意识", "效率", "执行力", "演示文稿", "幻灯片", "日报", "周报", "月报", "年报", "产品线", "版本", "行业", "领域", "系统", "等级", "规格", "类型", "组装", "包装", "检测", "存储", "余额",
+    "往来", "计提", "折旧", "摊销", "税费", "付款", "收款", "结算", "汇款", "退款", "充值", "请假条", "加班单", "出差单", "报销单", "采购单", "订单", "入库单", "出库单", "退货", "索赔", "投诉", "议案",
+    "题案", "议题", "纪要", "决议", "结论", "辅导", "带教", "实习", "试用", "转正", "晋升", "调岗", "调薪", "降职", "免职", "辞退", "裁员", "入职", "离职", "调休", "社保", "公积金", "五险一金", "一金",
+    "节日", "福利", "团队", "建设", "拓展", "实施", "执行", "优化", "改进", "升级", "完善", "晚餐", "餐费", "交通", "住宿", "办公区", "办公区域", "用品", "场所", "需求", "分析",
+)
 )
 
 #: Relation checks as data: relation, first names, second names (empty: any) that are no facts together.
