@@ -123,8 +123,7 @@ UNIT_ENDINGS = ("部", "组", "组)", "中心", "处", "室", "科", "所", "院
 SURNAMES = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文"
 ORG_SUFFIXES = ("公司", "集团", "企业", "银行", "大学", "学院", "医院", "部门", "研究所", "研究院", "中心", "基金", "协会")
 
-GENERIC_ENTITIES = tuple(
-    (
+GENERIC_ENTITIES = (
     "公司", "总部", "组织", "机构", "企业", "集团", "部门", "单位", "信息", "技术", "科技", "科学", "工程", "产业", "行业", "领域", "工业", "农业", "商业", "服务业", "制造业", "系统", "平台", "产品",
     "服务", "方案", "项目", "方面", "方式", "方法", "手段", "途径", "渠道", "问题", "情况", "现象", "过程", "结果", "影响", "条件", "因素", "特点", "优势", "功能", "特性", "世纪", "年代", "时期",
     "阶段", "时代", "一生", "展开", "起来", "下来", "上去", "出来", "分泌", "免疫", "内分泌", "极速版", "火山版", "常用于化工", "常用于工业", "常用于", "三角洲", "盆地", "平原", "高原", "山脉", "沙漠",
@@ -135,12 +134,10 @@ GENERIC_ENTITIES = tuple(
     "感觉", "知觉", "记忆", "思维", "想象", "定律", "矛盾", "群众", "人们", "资料", "所有制", "形式", "分配", "城市", "分区", "商业区", "住宅区", "工业区", "行政区", "文化区", "研究", "研究法", "研究人",
     "法学", "宪法", "教育学", "心理学", "主要从事非农业", "济各部门提供物质技术基础的主要", "阶级是指在", "生产关系是人们在物质", "济基础是指由社会一定发展阶段的", "活动", "模式", "增长", "标志", "比重", "总人口", "亚热带季",
     "温带季", "海洋性", "朗玛峰",
-)
 )
 
 #: Nouns that are no names; another list is a parameter of the mention operators and of svo_relations.
-GENERIC_NOUNS = tuple(
-    (
+GENERIC_NOUNS = (
     "所有", "日常", "工作", "整体", "业务", "事务", "服务", "售后", "前端", "后端", "软件", "硬件", "测试", "开发", "运营", "管理", "采购", "绩效", "薪酬", "核算", "招聘", "考勤", "请假", "加班",
     "报销", "保密", "出差", "办公", "会议室", "印章", "档案", "安全", "网络", "培训", "平面", "视频", "运动", "休闲", "养生", "健身", "兼职", "编程", "剪辑", "口译", "笔译", "客服", "营销", "销售",
     "上传", "下单", "生产", "安装", "维修", "装备", "钢带", "管材", "薄板", "炼钢", "涂装", "润滑", "夹具", "模具", "量具", "图纸", "会计", "出纳", "法务", "法律", "税务", "审计", "文案", "设计",
@@ -153,7 +150,6 @@ GENERIC_NOUNS = tuple(
     "往来", "计提", "折旧", "摊销", "税费", "付款", "收款", "结算", "汇款", "退款", "充值", "请假条", "加班单", "出差单", "报销单", "采购单", "订单", "入库单", "出库单", "退货", "索赔", "投诉", "议案",
     "题案", "议题", "纪要", "决议", "结论", "辅导", "带教", "实习", "试用", "转正", "晋升", "调岗", "调薪", "降职", "免职", "辞退", "裁员", "入职", "离职", "调休", "社保", "公积金", "五险一金", "一金",
     "节日", "福利", "团队", "建设", "拓展", "实施", "执行", "优化", "改进", "升级", "完善", "晚餐", "餐费", "交通", "住宿", "办公区", "办公区域", "用品", "场所", "需求", "分析",
-)
 )
 
 #: Relation checks as data: relation, first names, second names (empty: any) that are no facts together.
