@@ -70,9 +70,23 @@ def test_media_copies(spark):
     assert op3.copies(media.limit(0)).count() == 0
 
 
+def test_media_finds_every_kind_of_edit_and_links_nothing_else(spark):
+    rng = np.random.default_rng(11)
+    vectors = [rng.normal(size=64) for _ in range(240)]
+    image = [op3.picture(v) for v in vectors]
+    extra = [(1000 + k, op3.edited(image[k], k % op3.KINDS)) for k in range(12 * op3.KINDS)]
+    more = [(2000 + k, np.clip(np.rint(op3.turned(image[k].astype(float), -37)), 0, 255).astype(np.uint8)) for k in range(100, 112)]
+    media = spark.createDataFrame([(k, bytearray(np.ascontiguousarray(i).tobytes()), i.shape[1], i.shape[0]) for k, i in [*enumerate(image), *extra, *more]], "media_id long, image binary, width int, height int")
+    found = {r.media_id: r.class_id for r in op3.copies(media.repartition(6)).collect()}
+    assert all(found[k] == k for k in range(240))
+    for kind in range(op3.KINDS):
+        assert sum(found[k] == k - 1000 for k, _ in extra if (k - 1000) % op3.KINDS == kind) >= 11
+    assert sum(found[k] == k - 2000 for k, _ in more) >= 11
+
+
 def test_media_describes_twenty_corners_of_each_level():
     points = op3.descriptors(np.random.default_rng(1).uniform(0, 255, (160, 160)))
-    assert points.groupby("level").size().tolist() == [20, 20, 20]
+    assert points.groupby("level").size().tolist() == [20] * op3.LEVELS
 
 
 def test_quality_learns_and_holds_out(spark, odd_docs, no_docs, sf_dir):
