@@ -38,8 +38,9 @@ def brute_windows(values, least):
 @given(st.lists(st.integers(0, 12), max_size=60), st.integers(1, 9))
 def test_compact_windows_are_the_wide_nodes_of_the_cartesian_tree(small, least):
     values = [v << 24 for v in small]
-    found = op1.compact_windows(np.array(values, dtype=np.uint64), least)
-    assert set(zip(*(x.tolist() for x in found), strict=True)) == brute_windows(values, least)
+    for bits in (24, 3):  # with 3 bits, eight places and more are ranked, as texts of over 16 million words are
+        found = op1.compact_windows(np.array(values, dtype=np.uint64), least, bits)
+        assert set(zip(*(x.tolist() for x in found), strict=True)) == brute_windows(values, least)
 
 
 def test_substring_finds_planted_passages_and_leaves_others_alone(spark):
@@ -102,6 +103,31 @@ def test_substring_passages_of_common_sentences(spark):
     assert sum(k in classes and classes[k] == classes.get(40 + k) for k in range(40)) == 40
 
 
+@pytest.mark.parametrize(("edits", "originals"), [(5, 12), (40, 2)])
+def test_substring_edits_meet_their_original(spark, edits, originals):
+    """Edits with a similarity of just over 0.8 to their original, and below it to each other, end in its class."""
+    texts, families = [], []
+    for size, cut in ((55, 1), (80, 4), (120, 8)):
+        for k in range(originals):
+            r = random.Random(f"{size} {k} {edits}")
+            passage = words(r.random(), size, 10**6).split()
+            members = [passage]
+            for _ in range(edits):
+                changed, at = list(passage), r.randrange(5, size - 5 - cut)
+                changed[at : at + cut] = words(r.random(), cut, 10**6).split()
+                members.append(changed)
+            families.append(range(len(texts), len(texts) + len(members)))
+            texts += [f"{words(r.random(), 40, 10**6)} {' '.join(m)} {words(r.random(), 40, 10**6)}" for m in members]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = {row.doc_id: row.class_id for row in op1.substring_duplicates(df).collect()}
+    family = {d: f[0] for f in families for d in f}
+    assert all(family[c] == family[d] for d, c in classes.items())
+    for part in (families[:originals], families[originals : 2 * originals], families[2 * originals :]):
+        inside = [f[0] in classes and classes[d] == classes[f[0]] if d in classes else False for f in part for d in f[1:]]
+        print("recall", len(inside), sum(inside) / len(inside))
+        assert sum(inside) >= 0.9 * len(inside)
+
+
 def brute_fingerprint(text):
     import re
 

@@ -125,8 +125,8 @@ def bloom_has(key: Column) -> Column:
     return inside & key.isNotNull()
 
 
-def only_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """``df`` left-semi ``keys`` on ``key``, with a Bloom filter that drops most other rows before they are shuffled.
+def only_keys(df: DataFrame, keys: DataFrame, key: str, extra: list[str] | None = None) -> DataFrame:
+    """``df`` left-semi ``keys`` on ``key``, with ``extra`` columns of ``keys`` (whose keys must then be unique), and with a Bloom filter that drops most other rows before they are shuffled.
 
     The filter has at most BLOOM_BLOCKS blocks (8 MB), whatever the number of keys is, so it can be broadcast;
     with very many keys it lets more rows through to the join, which is exact. ``keys`` is evaluated three times.
@@ -135,4 +135,5 @@ def only_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     bloom = F.broadcast(bloom_blocks(keys, key, blocks))
     met = df.withColumn("block", bloom_block(F.col(key), blocks)).join(bloom, "block").where(bloom_has(F.col(key)))
     # an inner join: the optimizer would put a semi join below the filter
-    return met.select(df.columns).join(keys.select(key).distinct(), key).select(df.columns)
+    wanted = keys.select(key, *extra) if extra else keys.select(key).distinct()
+    return met.select(df.columns).join(wanted, key).select(*df.columns, *(extra or []))
