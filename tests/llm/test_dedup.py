@@ -255,6 +255,26 @@ def test_keep_one_against_brute_force(spark):
     assert len(kept - want) <= 0.03 * (len(texts) - len(want))
 
 
+def swapped(text, at, n, rng):
+    """One block of words changed."""
+    parts = text.split()
+    return " ".join(parts[:at] + [f"{rng.getrandbits(48):x}" for _ in range(n)] + parts[at + n :])
+
+
+@pytest.mark.parametrize("rounds", [0, 6])
+def test_keep_one_loses_no_link(spark, monkeypatch, rounds):
+    rng = random.Random(5)
+    common = words(50, 60)
+    # a block of a text changed: similarities of just over and just under 0.8; many edits of one text; a passage that all others have
+    texts = [t for k in range(60) for t in (words(700 + k, 300), swapped(words(700 + k, 300), 20 + k, 26 + k % 10, rng))]
+    texts += [swapped(swapped(words(78, 200), 7 * (k % 20), 6, rng), 150, 5, rng) for k in range(60)]
+    texts += [f"{common} {words(800 + k, 20)}" for k in range(60)] + ["a b", "A  b", "a", "", " "]
+    monkeypatch.setattr(op8, "MANY", 0)
+    monkeypatch.setattr(op8, "ROUNDS", rounds)
+    kept = [r.doc_id for r in op8.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert sorted(kept) == sorted(set(brute_near(texts)))
+
+
 def test_keep_one_on_odd_rows(odd_docs, no_docs):
     given = odd_docs.select("doc_id", "text").collect()
     least = {}

@@ -8,10 +8,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trigrove.llm.common import discard, materialize, only_keys, table, text_batches, text_key
+from trigrove.llm.common import discard, materialize, once_each, only_keys, table, text_batches, text_key
 from trigrove.llm.components import connected_components
 
 SEED, CHUNK = 42, 1 << 15
@@ -131,13 +131,12 @@ def simhash_components(docs: DataFrame, width: int = 3) -> DataFrame:
     return _components(docs, width).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Near-duplicate texts: words of a shingle, least similarity as a fraction, and the wide fingerprint of PARTS words of 32 bits
-#: over pairs of words, with the most differing bits that a pair to be verified may have: at a similarity of 0.8 a bit differs
-#: with a chance of acos(8/9)/pi = 0.151, in 256 bits 38.7 on average with a deviation of 5.7, and FAR is three of these above.
-WIDTH, SIMILAR, PARTS, FAR = 5, (4, 5), 8, 56
-#: Representatives of a variant, each the first one in an order of its own, and partners of one text in one salted part.
-REPRESENTATIVES, SALT = 4, 256
-BALL = [0] + [1 << i for i in range(32)]
+#: Near-duplicate texts: words of a shingle, and least similarity as a fraction.
+WIDTH, SIMILAR = 5, (4, 5)
+#: Partners of one text in one salted part.
+SALT = 256
+#: Representatives at a hash, and rounds of them while more than MANY pairs for each hit are left; then all that is left is compared.
+REPRESENTATIVES, ROUNDS, MANY = 8, 6, 8
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -159,94 +158,178 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(_mix(hashes))
 
 
-def wide_fingerprint(text: str | None) -> np.ndarray:
-    """SimHash of 32 * PARTS bits over the distinct pairs of words, as int32; no words: zeros."""
-    hashes = shingle_set(text, 2)
-    ones = np.zeros(32 * PARTS, np.int64)
-    for at in range(0, len(hashes), CHUNK):
-        part = hashes[at : at + CHUNK]
-        bits = np.stack([_mix(part + np.uint64(k)) for k in range(PARTS // 2)], axis=1)
-        ones += np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i4")
+def _prefix(n: int) -> int:
+    """How many of the first of ``n`` sorted hashes move: of those of two similar sets ``n // 10 + 1`` (by the smaller n) or more are equal.
+
+    A similar set lacks at most a fifth of the hashes, so among the first of both, a fifth and k more, k are shared.
+    """
+    num, den = SIMILAR
+    return n - -(-n * num // den) + n // 10 + 1 if n else 0
 
 
-def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text)`` -> ``(doc_id, key, node, fp)``: identity of the text, of its set of shingles, and the wide fingerprint."""
+def shingled(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` -> doc_id, key (identity of the text), node (of its set of shingles), n (its size), prefix (its smallest hashes, see ``_prefix``)."""
 
     text_batches(docs.sparkSession)
 
     def run(batches):
         for pdf in batches:
-            nodes = [md5(shingle_set(t, WIDTH).tobytes()).digest() for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": pdf["key"], "node": nodes, "fp": [wide_fingerprint(t) for t in pdf["text"]]})
+            nodes, sizes, firsts = [], [], []
+            for text in pdf["text"]:
+                s = shingle_set(text, WIDTH)
+                nodes.append(md5(s.tobytes()).digest())
+                sizes.append(len(s))
+                firsts.append(s[: _prefix(len(s))].view(np.int64))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": pdf["key"], "node": nodes, "n": np.array(sizes, np.int32), "prefix": firsts})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text").mapInPandas(run, "doc_id long, key binary, node binary, fp array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text").mapInPandas(run, "doc_id long, key binary, node binary, n int, prefix array<long>")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """``nodes(node, key, fp)`` -> ``(a, b, a_key, b_key)``, pairs of different nodes to verify.
+def in_company(nodes: DataFrame) -> DataFrame:
+    """``nodes(node, n, prefix)``, a row for each set -> node of the sets that share as many of their first hashes with others as with a similar partner they must.
 
-    Radius 2 of each 32-bit part is split as 1 + 1: every part emits all its variants within one bit. Variants that
-    one node has alone go first, by counts. All that meet at a variant are paired with its REPRESENTATIVES, the
-    first of them in as many fixed random orders, so that pairs grow in proportion to a group; pairs with more than
-    FAR differing bits of the whole fingerprint are left out.
+    Exact: no set with a partner goes. Hashes of one set alone never move beyond counts.
     """
-    low = F.lit(0xFFFFFFFF).cast("long")
-    part = F.shiftleft(F.col("part").cast("long"), 32).bitwiseOR(F.col("word").cast("long").bitwiseAND(low))
-    spread = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
-    met = spread.select("*", F.posexplode("fp").alias("part", "word")).select("node", "key", "fp", part.alias("k"), F.explode(_literal(BALL)).alias("m")).select(F.col("k").bitwiseXOR(F.col("m")).alias("v"), "node", "key", "fp")
-    shared = materialize(met.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v"))
-    hits = materialize(only_keys(met, shared, "v"))
-    firsts = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "key", "fp")) for i in range(REPRESENTATIVES)]
-    chosen = hits.groupBy("v").agg(F.array_distinct(F.transform(F.array(*firsts), lambda r: F.struct(r["node"].alias("node"), r["key"].alias("key"), r["fp"].alias("fp")))).alias("r"))
-    pairs = hits.join(chosen, "v").select("node", "key", "fp", F.explode("r").alias("r")).where(F.col("r.node") != F.col("node"))
-    apart = F.aggregate(F.zip_with("fp", "r.fp", lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(low))), F.lit(0), lambda s, x: s + x)
-    ends = pairs.where(apart <= FAR).select(F.struct(F.col("r.node").alias("node"), F.col("r.key").alias("key")).alias("x"), F.struct("node", "key").alias("y"))
-    found = materialize(ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.key").alias("a_key"), F.col("y.key").alias("b_key")))
+    num, den = SIMILAR
+    # the partner may be smaller by a fifth
+    enough = F.expr(f"(n * {num} + {den - 1}) div {den} div 10 + 1")
+    rows = nodes.where("n > 0").select("node", "n", F.explode("prefix").alias("t"))
+    shared = materialize(rows.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t"))
+    hits = only_keys(rows, shared, "t").groupBy("node").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("c"))
+    out = materialize(hits.where(F.col("c") >= enough).select("node"))
     discard(shared)
-    discard(hits)
-    return found
+    return out
 
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ``(a, b)`` of ``pairs`` whose texts have a Jaccard similarity of at least SIMILAR over their sets of shingles.
+def rare_hits(sets: DataFrame) -> DataFrame:
+    """``sets(node, s)`` -> (node, n, at, t): the rarest hashes of each set that others have too, with their places.
 
-    Only texts of pairs are cut into shingles, each once. A text with very many partners is dealt to one part for every SALT of them.
+    Two similar sets share one at least of the first fifth and one more, in any order that holds for all sets. Here the
+    rarest come first, so a set with more than a fifth of its own has no hit, and frequent hashes (a passage that very
+    many texts have) only meet texts that have little else.
     """
+    num, den = SIMILAR
+    rows = sets.select("node", F.explode("s").alias("t"))
+    counts = materialize(rows.groupBy("t").agg(F.count(F.lit(1)).alias("c")))
+    ranked = rows.join(counts, "t").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("s"))
+    n = F.size("s")
+    first = F.slice("s", 1, n - F.expr(f"(size(s) * {num} + {den - 1}) div {den}").cast("int") + 1)
+    hits = materialize(ranked.select("node", n.alias("n"), F.posexplode(first).alias("at", "h")).where("h.c > 1").select("node", "n", "at", F.col("h.t").alias("t")))
+    discard(counts)
+    return hits
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets of ``wanted(node, key)``: node, s."""
     text_batches(docs.sparkSession)
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"key": pdf["key"], "s": [shingle_set(t, WIDTH).view(np.int64) for t in pdf["text"]]})
+            yield pd.DataFrame({"node": pdf["node"], "s": [shingle_set(t, WIDTH).view(np.int64) for t in pdf["text"]]})
+
+    texts = only_keys(docs.select(text_key(F.col("text")).alias("key"), "text"), wanted, "key", ["node"]).dropDuplicates(["node"])
+    return materialize(texts.select("node", "text").mapInPandas(run, "node binary, s array<long>"))
 
-    wanted = materialize(pairs.select(F.explode(F.array("a_key", "b_key")).alias("key")).distinct())
-    texts = only_keys(docs.select(text_key(F.col("text")).alias("key"), "text"), wanted, "key").dropDuplicates(["key"])
-    sets = materialize(texts.mapInPandas(run, "key binary, s array<long>"))
+
+def similar_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``(a, b)`` of ``pairs`` whose sets ``(node, s)`` have a Jaccard similarity of at least SIMILAR.
+
+    A set with very many partners is dealt to one part for every SALT of them.
+    """
 
     def side(now: DataFrame, end: str) -> DataFrame:
         parts = now.groupBy(end).agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("parts"))
         dealt = now.join(parts, end).withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int"))
-        held = parts.select(end, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).join(sets.select(F.col("key").alias(end), F.col("s").alias(end[0] + "_s")), end)
+        held = parts.select(end, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).join(sets.select(F.col("node").alias(end), F.col("s").alias(end + "_s")), end)
         return dealt.join(held, [end, "salt"]).drop("parts", "salt")
 
-    both, (num, den) = side(side(pairs, "a_key"), "b_key"), SIMILAR
+    both, (num, den) = side(side(pairs, "a"), "b"), SIMILAR
     shared, total = F.size(F.array_intersect("a_s", "b_s")), F.size("a_s") + F.size("b_s")
     return both.where(shared * (num + den) >= total * num).select("a", "b")
 
 
+def _sized(pairs: DataFrame) -> DataFrame:
+    """``(x, y)``, structs of n, at and node, -> distinct (a, b), a < b, of which sizes and places allow SIMILAR.
+
+    No hash before the first one that two sets share is shared, so it is at a place from which enough are left in both.
+    """
+    num, den = SIMILAR
+    after = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    fit = pairs.where((after * (num + den) >= (F.col("x.n") + F.col("y.n")) * num) & (F.col("x.node") != F.col("y.node")))
+    return fit.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def in_classes(hits: DataFrame, parts: DataFrame) -> DataFrame:
+    """``hits`` with the class of each set in ``parts(node, component)`` -> (t, root, m), of hashes that several classes have."""
+    rows = hits.join(parts, "node", "left").select("t", F.coalesce("component", "node").alias("root"), F.struct("n", "at", "node").alias("m"))
+    several = rows.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("t")
+    return materialize(rows.join(several, "t", "left_semi"))
+
+
+def crossing(rows: DataFrame) -> int:
+    """How many pairs of sets of two classes meet at the hashes of ``in_classes``, one at several hashes counted at each."""
+    counts = rows.groupBy("t", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("t").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("x"))
+    return (counts.agg(F.sum("x")).first()[0] or 0) // 2
+
+
+def first_pairs(rows: DataFrame, order: int) -> DataFrame:
+    """The sets of ``in_classes`` with REPRESENTATIVES of another class at each hash, the first ones in a random order: pairs in proportion to the rows."""
+    rank = F.row_number().over(Window.partitionBy("t").orderBy(F.xxhash64("m.node", F.lit(order)), "m.node"))
+    chosen = rows.withColumn("rank", rank).where(F.col("rank") <= REPRESENTATIVES).select("t", F.col("root").alias("other"), F.col("m").alias("x"))
+    return _sized(rows.join(chosen, "t").where("root != other").select("x", F.col("m").alias("y")))
+
+
+def other_pairs(rows: DataFrame) -> DataFrame:
+    """All pairs of two classes that share a hash of ``in_classes``.
+
+    Classes meet first, so that members of one class are never paired with one another.
+    """
+    roots = rows.select("t", "root").distinct()
+    met = roots.join(roots.withColumnRenamed("root", "other"), "t").where("root < other")
+    met = met.join(rows.withColumnRenamed("m", "x"), ["t", "root"]).join(rows.select("t", F.col("root").alias("other"), F.col("m").alias("y")), ["t", "other"])
+    return _sized(met.select("x", "y"))
+
+
+def near_links(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """``own(key, node, n, prefix)`` of ``docs`` -> (node, component) of the sets that a Jaccard similarity of SIMILAR or more links, exactly.
+
+    Rounds of representatives connect large groups of near copies first, as long as that saves pairs. Whatever pair of
+    two classes is then left is compared, so no link is lost that joins classes.
+    """
+    left = in_company(once_each(own.select("node", "n", "prefix"), "node"))
+    sets = shingle_sets(docs, materialize(own.join(left, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))))
+    hits = rare_hits(sets)
+    many = MANY * hits.count()
+    rows, tried, links = in_classes(hits, hits.select("node", F.col("node").alias("component")).distinct()), None, None
+    before = None
+    for order in range(ROUNDS + 1):
+        now = crossing(rows)
+        # a round that left most pairs is no use
+        whole, before = order == ROUNDS or now <= many or (before is not None and 4 * now > 3 * before), now
+        pairs = other_pairs(rows) if whole else first_pairs(rows, order)
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
+        found = materialize(similar_pairs(sets, pairs))
+        links = links.unionByName(found) if links is not None else found
+        parts = connected_components(links)
+        if whole:
+            break
+        tried = tried.unionByName(pairs) if tried is not None else pairs
+        discard(rows)
+        rows = in_classes(hits, parts)
+    return parts
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, key and root (the smallest node that verified links reach) of each row; one node for all rows with equal sets of shingles."""
-    own = materialize(wide_fingerprints(docs))
-    nodes = own.groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp"))
-    parts = connected_components(similar_pairs(docs, candidates(nodes)))
-    return own.join(parts, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("root"))
+    own = materialize(shingled(docs))
+    return own.join(near_links(docs, own), "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with the smallest doc_id, of those the one with the smallest identity of its text.
 
-    Texts are linked at a Jaccard similarity of 0.8 or more over their sets of five-word shingles, among the pairs
-    that ball hashing finds (see ``candidates``); texts without words are equal. A row without a doc_id stays only
+    Texts are linked at a Jaccard similarity of 0.8 or more over their sets of five-word shingles, all of them (see
+    ``in_company``, ``rare_hits`` and ``other_pairs``); texts without words are equal. A row without a doc_id stays only
     if no row of its group has one. Rows that are equal in both are one.
     """
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
