@@ -209,12 +209,13 @@ def rare_hits(sets: DataFrame) -> DataFrame:
     many texts have) only meet texts that have little else.
     """
     num, den = SIMILAR
-    rows = sets.select("node", F.explode("s").alias("t"))
-    counts = materialize(rows.groupBy("t").agg(F.count(F.lit(1)).alias("c")))
-    ranked = rows.join(counts, "t").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("s"))
-    n = F.size("s")
-    first = F.slice("s", 1, n - F.expr(f"(size(s) * {num} + {den - 1}) div {den}").cast("int") + 1)
-    hits = materialize(ranked.select("node", n.alias("n"), F.posexplode(first).alias("at", "h")).where("h.c > 1").select("node", "n", "at", F.col("h.t").alias("t")))
+    rows = sets.select("node", F.size("s").alias("n"), F.explode("s").alias("t"))
+    counts = materialize(rows.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    ranked = only_keys(rows, counts, "t", ["c"]).groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "t"))).alias("s"))
+    # a set's own hashes stand before all others
+    ranked = ranked.withColumn("own", F.col("n") - F.size("s"))
+    first = F.slice("s", 1, F.greatest(F.col("n") - F.expr(f"(n * {num} + {den - 1}) div {den}").cast("int") + 1 - F.col("own"), F.lit(0)))
+    hits = materialize(ranked.select("node", "n", "own", F.posexplode(first).alias("at", "h")).select("node", "n", (F.col("own") + F.col("at")).alias("at"), F.col("h.t").alias("t")))
     discard(counts)
     return hits
 
@@ -284,8 +285,12 @@ def other_pairs(rows: DataFrame) -> DataFrame:
 
     Classes meet first, so that members of one class are never paired with one another.
     """
-    roots = rows.select("t", "root").distinct()
-    met = roots.join(roots.withColumnRenamed("root", "other"), "t").where("root < other")
+    num, den = SIMILAR
+    roots = rows.groupBy("t", "root").agg(F.max(F.col("m.n") - F.col("m.at")).alias("after"), F.min("m.n").alias("n"))
+    there = roots.select("t", F.col("root").alias("other"), F.col("after").alias("o_after"), F.col("n").alias("o_n"))
+    # what no pair of the two classes can pass, see ``_sized``
+    may = (F.least("after", "o_after") * (num + den) >= (F.col("n") + F.col("o_n")) * num) & (F.col("root") < F.col("other"))
+    met = roots.join(there, "t").where(may).select("t", "root", "other")
     met = met.join(rows.withColumnRenamed("m", "x"), ["t", "root"]).join(rows.select("t", F.col("root").alias("other"), F.col("m").alias("y")), ["t", "other"])
     return _sized(met.select("x", "y"))
 
