@@ -84,6 +84,16 @@ def test_media_finds_every_kind_of_edit_and_links_nothing_else(spark):
     assert sum(found[k] == k - 2000 for k, _ in more) >= 11
 
 
+def test_media_meet_beyond_the_rows_beside_them(spark):
+    rng = np.random.default_rng(4)
+    bits = rng.integers(-(1 << 62), 1 << 62, (10, 4)).tolist()
+    # twelve pictures with equal descriptors; only picture k and k + 6 have them at the same places
+    places = [rng.integers(20, 400, (10, 2)).astype(float).tolist() for _ in range(6)]
+    rows = [(k, [(*map(float, xy), 0, 0.0, *d) for xy, d in zip(places[k % 6], bits, strict=True)]) for k in range(12)]
+    found = op3.matches(spark.createDataFrame(rows, f"media long, points {op3._POINTS}")).collect()
+    assert sorted((r.a, r.b) for r in found) == [(k + 6, k) for k in range(6)]
+
+
 def test_media_describes_twenty_corners_of_each_level():
     points = op3.descriptors(np.random.default_rng(1).uniform(0, 255, (160, 160)))
     assert points.groupby("level").size().tolist() == [20] * op3.LEVELS
