@@ -103,6 +103,28 @@ def test_substring_passages_of_common_sentences(spark):
     assert sum(k in classes and classes[k] == classes.get(40 + k) for k in range(40)) == 40
 
 
+@pytest.mark.parametrize("many", [64, 0])
+def test_substring_pairs_around_a_common_line(spark, monkeypatch, many):
+    """A line shorter than a passage that all texts have, and a few words around it that only two have: no representative is one of the two."""
+    monkeypatch.setattr(op1, "MANY", many)
+    line, texts = words(77, 40, 10**6), {}
+    for k in range(40):
+        passage = f"{words(100 + k, 6, 10**6)} {line} {words(200 + k, 6, 10**6)}"
+        for i in (k, 40 + k):
+            texts[i] = f"{words(5000 + i, 70, 10**6)} {passage} {words(9000 + i, 70, 10**6)}"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    classes = {row.doc_id: row.class_id for row in op1.substring_duplicates(df).collect()}
+    assert classes == {i: i % 40 for i in texts}
+
+
+def test_least_shared_against_counting():
+    r = random.Random(3)
+    for size, kinds in ((46, 1), (46, 10), (80, 30), (300, 60), (300, 10**6)):
+        h = np.array([r.randrange(kinds) for _ in range(size)], np.uint64)
+        fewest = min(len(set(h[k : k + 37].tolist())) for k in range(size - 36))
+        assert op1.least_shared(h) == -(-fewest * 4 // 5)
+
+
 @pytest.mark.parametrize(("edits", "originals"), [(5, 12), (40, 2)])
 def test_substring_edits_meet_their_original(spark, edits, originals):
     """Edits with a similarity of just over 0.8 to their original, and below it to each other, end in its class."""
