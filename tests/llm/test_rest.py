@@ -94,6 +94,22 @@ def test_media_meet_beyond_the_rows_beside_them(spark):
     assert sorted((r.a, r.b) for r in found) == [(k + 6, k) for k in range(6)]
 
 
+def test_media_other_pairs_against_counting_and_without_unshared_quarters(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    bits = {m: [tuple(int(x) for x in (r.integers(0, 40, op3.BANDS) if m < 12 else r.integers(1 << 40, 1 << 60, op3.BANDS))) for _ in range(6)] for m in range(60)}
+    root = {m: 0 if m < 3 else m for m in bits}
+    count = {m: Counter((t, p[t]) for p in points for t in range(op3.BANDS)) for m, points in bits.items()}
+    want = {(a, b) for a in bits for b in range(a) if root[a] != root[b] and (count[a] & count[b]).total() >= op3.AGREE}
+    assert 5 < len(want)
+    one = spark.createDataFrame([(m, [(0.0, 0.0, 0, 0.0, *p) for p in points]) for m, points in bits.items()], f"media long, points {op3._POINTS}")
+    written, keep = [], op3.materialize
+    monkeypatch.setattr(op3, "materialize", lambda df: written.append(keep(df)) or written[-1])
+    found = op3.other_pairs(one, spark.createDataFrame([(k, 0) for k in range(3)], "node long, component long"))
+    assert {(x.a, x.b) for x in found.collect()} == want
+    # quarters of one picture alone are written nowhere
+    assert max(w.count() for w in written) <= 12 * 6 * op3.BANDS
+
+
 def test_media_describes_twenty_corners_of_each_level():
     points = op3.descriptors(np.random.default_rng(1).uniform(0, 255, (160, 160)))
     assert points.groupby("level").size().tolist() == [20] * op3.LEVELS
