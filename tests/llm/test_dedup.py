@@ -297,6 +297,23 @@ def test_keep_one_loses_no_link(spark, monkeypatch, rounds):
     assert sorted(kept) == sorted(set(brute_near(texts)))
 
 
+def test_keep_one_compares_a_large_group_in_proportion(spark, monkeypatch):
+    """Edits of one text that are often not quite similar to each other, but to the text: each needs few comparisons."""
+    r, base = np.random.default_rng(21), words(70, 150).split()
+    texts = [" ".join(base)]
+    for k in range(240):
+        own = list(base)
+        for at in r.choice(30, int(r.integers(1, 4)), replace=False):
+            own[5 * int(at)] = f"e{k}x{at}"
+        texts.append(" ".join(own))
+    compared, similar = [], op8.similar_pairs
+    monkeypatch.setattr(op8, "MANY", 0)
+    monkeypatch.setattr(op8, "similar_pairs", lambda sets, pairs: compared.append(pairs.count()) or similar(sets, pairs))
+    kept = [x.doc_id for x in op8.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert sorted(kept) == sorted(set(brute_near(texts)))
+    assert sum(compared) < 12 * len(texts)
+
+
 def test_keep_one_on_odd_rows(odd_docs, no_docs):
     given = odd_docs.select("doc_id", "text").collect()
     least = {}

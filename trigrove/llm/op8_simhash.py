@@ -135,7 +135,7 @@ def simhash_components(docs: DataFrame, width: int = 3) -> DataFrame:
 WIDTH, SIMILAR = 5, (4, 5)
 #: Partners of one text in one salted part.
 SALT = 256
-#: Representatives at a hash, and rounds of them while more than MANY pairs for each hit are left; then all that is left is compared.
+#: Representatives at a hash in the first round (twice as many in each further one), and rounds of them while more than MANY pairs for each hit are left; then all that is left is compared.
 REPRESENTATIVES, ROUNDS, MANY = 8, 6, 8
 
 
@@ -202,7 +202,7 @@ def in_company(nodes: DataFrame) -> DataFrame:
 
 
 def rare_hits(sets: DataFrame) -> DataFrame:
-    """``sets(node, s)`` -> (node, n, at, t): the rarest hashes of each set that others have too, with their places.
+    """``sets(node, s)`` -> (node, n, own, at, t): the rarest hashes of each set that others have too, with their places, and the count of those that no other has.
 
     Two similar sets share one at least of the first fifth and one more, in any order that holds for all sets. Here the
     rarest come first, so a set with more than a fifth of its own has no hit, and frequent hashes (a passage that very
@@ -215,7 +215,7 @@ def rare_hits(sets: DataFrame) -> DataFrame:
     # a set's own hashes stand before all others
     ranked = ranked.withColumn("own", F.col("n") - F.size("s"))
     first = F.slice("s", 1, F.greatest(F.col("n") - F.expr(f"(n * {num} + {den - 1}) div {den}").cast("int") + 1 - F.col("own"), F.lit(0)))
-    hits = materialize(ranked.select("node", "n", "own", F.posexplode(first).alias("at", "h")).select("node", "n", (F.col("own") + F.col("at")).alias("at"), F.col("h.t").alias("t")))
+    hits = materialize(ranked.select("node", "n", "own", F.posexplode(first).alias("at", "h")).select("node", "n", "own", (F.col("own") + F.col("at")).alias("at"), F.col("h.t").alias("t")))
     discard(counts)
     return hits
 
@@ -239,7 +239,7 @@ def similar_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """
 
     def side(now: DataFrame, end: str) -> DataFrame:
-        parts = now.groupBy(end).agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("parts"))
+        parts = pairs.groupBy(end).agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("parts"))
         dealt = now.join(parts, end).withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int"))
         held = parts.select(end, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).join(sets.select(F.col("node").alias(end), F.col("s").alias(end + "_s")), end)
         return dealt.join(held, [end, "salt"]).drop("parts", "salt")
@@ -261,8 +261,9 @@ def _sized(pairs: DataFrame) -> DataFrame:
 
 
 def in_classes(hits: DataFrame, parts: DataFrame) -> DataFrame:
-    """``hits`` with the class of each set in ``parts(node, component)`` -> (t, root, m), of hashes that several classes have."""
-    rows = hits.join(parts, "node", "left").select("t", F.coalesce("component", "node").alias("root"), F.struct("n", "at", "node").alias("m"))
+    """``hits`` with the class of each set in ``parts(node, component)`` -> (t, root, size, m), of hashes that several classes have; size is the class's."""
+    sized = parts.join(parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component")
+    rows = hits.join(sized, "node", "left").select("t", F.coalesce("component", "node").alias("root"), F.coalesce("size", F.lit(1)).alias("size"), F.struct("n", "own", "at", "node").alias("m"))
     several = rows.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("t")
     return materialize(rows.join(several, "t", "left_semi"))
 
@@ -274,10 +275,16 @@ def crossing(rows: DataFrame) -> int:
 
 
 def first_pairs(rows: DataFrame, order: int) -> DataFrame:
-    """The sets of ``in_classes`` with REPRESENTATIVES of another class at each hash, the first ones in a random order: pairs in proportion to the rows."""
-    rank = F.row_number().over(Window.partitionBy("t").orderBy(F.xxhash64("m.node", F.lit(order)), "m.node"))
-    chosen = rows.withColumn("rank", rank).where(F.col("rank") <= REPRESENTATIVES).select("t", F.col("root").alias("other"), F.col("m").alias("x"))
-    return _sized(rows.join(chosen, "t").where("root != other").select("x", F.col("m").alias("y")))
+    """The sets of ``in_classes`` with representatives of another class, no smaller than theirs, at each hash: pairs in proportion to the rows.
+
+    The representatives are those with the least share of hashes that nobody else has, so of the edits of one text those
+    with the fewest edits, which are near to most others. Their number doubles from round to round: a set that is hard
+    to link is tried with more and more of a class, and one that is linked with no more.
+    """
+    least = (F.col("m.own") / F.col("m.n"), F.xxhash64("m.node"), F.col("m.node"))
+    rank = F.row_number().over(Window.partitionBy("t").orderBy(*least))
+    chosen = rows.withColumn("rank", rank).where(F.col("rank") <= REPRESENTATIVES << order).select("t", F.col("root").alias("other"), F.col("size").alias("most"), F.col("m").alias("x"))
+    return _sized(rows.join(chosen, "t").where("root != other and size <= most").select("x", F.col("m").alias("y")))
 
 
 def other_pairs(rows: DataFrame) -> DataFrame:
@@ -305,12 +312,10 @@ def near_links(docs: DataFrame, own: DataFrame) -> DataFrame:
     sets = shingle_sets(docs, materialize(own.join(left, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))))
     hits = rare_hits(sets)
     many = MANY * hits.count()
-    rows, tried, links = in_classes(hits, hits.select("node", F.col("node").alias("component")).distinct()), None, None
-    before = None
+    rows, tried, links, found = in_classes(hits, hits.select("node", F.col("node").alias("component")).distinct()), None, None, None
     for order in range(ROUNDS + 1):
-        now = crossing(rows)
-        # a round that left most pairs is no use
-        whole, before = order == ROUNDS or now <= many or (before is not None and 4 * now > 3 * before), now
+        # a round without a link is no use
+        whole = order == ROUNDS or (found is not None and found.isEmpty()) or crossing(rows) <= many
         pairs = other_pairs(rows) if whole else first_pairs(rows, order)
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
         found = materialize(similar_pairs(sets, pairs))
