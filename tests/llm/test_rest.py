@@ -94,6 +94,14 @@ def test_media_meet_beyond_the_rows_beside_them(spark):
     assert sorted((r.a, r.b) for r in found) == [(k + 6, k) for k in range(6)]
 
 
+def test_media_classes_walk_each_link_once(spark, monkeypatch):
+    vectors = spark.createDataFrame([(k, np.random.default_rng(k).standard_normal(64).tolist()) for k in range(40)], "vec_id long, embedding array<float>")
+    walked, classes = [], op3.connected_components
+    monkeypatch.setattr(op3, "connected_components", lambda edges: walked.append(edges.count()) or classes(edges))
+    rows = op3.copies(op3.media_from_vectors(vectors)).collect()
+    assert sum(walked) == sum(r.n_links for r in rows) // 2 == 4
+
+
 def test_media_other_pairs_against_counting_and_without_unshared_quarters(spark, monkeypatch):
     r = np.random.default_rng(8)
     bits = {m: [tuple(int(x) for x in (r.integers(0, 40, op3.BANDS) if m < 12 else r.integers(1 << 40, 1 << 60, op3.BANDS))) for _ in range(6)] for m in range(60)}
