@@ -118,6 +118,39 @@ def test_media_other_pairs_against_counting_and_without_unshared_quarters(spark,
     assert max(w.count() for w in written) <= 12 * 6 * op3.BANDS
 
 
+def test_media_meet_without_any_equal_part(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    bits = rng.integers(0, 2, (40, 10, 256))
+    # picture 39 is picture 0 with 12 bits of each quarter changed in each descriptor, so no quarter is equal and no two are within NEAR
+    bits[39] = bits[0]
+    for k in range(10):
+        for t in range(op3.BANDS):
+            bits[39, k, 64 * t + rng.permutation(64)[:12]] ^= 1
+    whole = np.packbits(bits, axis=2).view(">u8").astype(np.uint64).view(np.int64)
+    places = rng.integers(20, 400, (10, 2)).astype(float).tolist()
+    media = [(k - 20) * (1 << 58) for k in range(40)]
+    rows = [(m, [(*xy, 0, 0.0, *map(int, d)) for xy, d in zip(places, w, strict=True)]) for m, w in zip(media, whole, strict=True)]
+    one = spark.createDataFrame(rows, f"media long, points {op3._POINTS}").repartition(3)
+    for tile in (4096, 4):
+        monkeypatch.setattr(op3, "TILE", tile)
+        links, parts = op3.links_and_classes(one)
+        assert [(r.a, r.b) for r in links.collect()] == [(media[39], media[0])]
+        assert {r.node: r.component for r in parts.collect()} == {media[0]: media[0], media[39]: media[0]}
+
+
+def test_media_every_pair_against_comparing_all(spark, monkeypatch):
+    image = [op3.picture(np.random.default_rng(k).standard_normal(64)) for k in range(60)]
+    image += [np.ascontiguousarray(op3.edited(image[k // 3], k % op3.KINDS)) for k in range(24)]
+    media = spark.createDataFrame([(k, bytearray(i.tobytes()), i.shape[1], i.shape[0]) for k, i in enumerate(image)], "media_id long, image binary, width int, height int")
+    one = op3.materialize(op3.described(media).select("media", "points"))
+    pairs = one.selectExpr("media as a").crossJoin(one.selectExpr("media as b")).where("a > b")
+    monkeypatch.setattr(op3, "TILE", 20)
+    own = sorted(r.media for r in one.collect())
+    want = {(r.a, r.b) for r in op3.compared(one, pairs).collect() if not {r.a, r.b} <= set(own[:9])}
+    found = op3.every_pair(one, spark.createDataFrame([(m, own[0]) for m in own[:9]], "node long, component long"))
+    assert {(r.a, r.b) for r in found.collect()} == want and len(want) > 16
+
+
 def test_media_describes_twenty_corners_of_each_level():
     points = op3.descriptors(np.random.default_rng(1).uniform(0, 255, (160, 160)))
     assert points.groupby("level").size().tolist() == [20] * op3.LEVELS
