@@ -8,11 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from trigrove.functions import lexicon as lx
+from trigrove.functions import text as tx
 from trigrove.functions.bloom import bloom_table, blocks_for, possible
 from trigrove.functions.numbering import dense_number
 from trigrove.functions.tables import stored
 from trigrove.operators import cleaning, graph, mentions, patterns, relations, table
 from trigrove.operators.grams import texts_with_words
+from trigrove.plans.inputs import read
 from trigrove.sources.store import Conflict, KeyedStore
 from trigrove.streaming.merge import EDGES, NODES, merge_batch_stored, merge_stream
 
@@ -273,3 +275,23 @@ def test_a_deep_page_reads_few_rows(spark, tmp_path):
     nodes = deep._jdf.queryExecution().executedPlan().collectLeaves()
     read = nodes.head().metrics().apply("numOutputRows").value()
     assert read < 60_000 / 3
+
+
+def test_token_mentions_of_a_union_are_more_than_one_task(spark):
+    # the input is a union of ten branches, of which the planner makes one task where all are grouped already
+    found = mentions.token_mentions(read(spark, "/root/testdata/sf0.01", "annotated"))
+    assert found.rdd.getNumPartitions() > 1
+
+
+def test_names_without_edges_or_digits_are_judged_as_others(spark):
+    texts = ["华为", "华", "的华为", "华为的", "华为的\u0085", " 华为", "华为\n", "设有部门于", "属于", "公司", "项目", "在", "1995年", "华为2001", "20华", "a华为", "abc", "华abc", "华" * 30, "华" * 31, "一二三", "", "华为 于 在", "北京\u3000", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    clean = F.btrim(F.regexp_replace(F.btrim(F.regexp_replace(F.btrim("t", F.lit(tx.BLANKS)), rf"^(?:(?:{tx.EDGE}){tx.SPACE}*)+", ""), F.lit(tx.BLANKS)), rf"(?:{tx.SPACE}*(?:{tx.EDGE}))+$", ""), F.lit(tx.BLANKS))
+    for r in df.select("t", tx.clean_mention(F.col("t")).alias("got"), clean.alias("want")).collect():
+        assert r.got == r.want, r
+    c = F.col("t")
+    foreign = F.length(F.regexp_replace(c, f"[{tx.CJK}]", "")) * 10 > F.length(c) * 7
+    digits = (c.rlike(r"\p{Nd}{4}") & c.rlike(f"[{tx.CJK}]{{2,}}")) | (c.rlike(r"\p{Nd}{3,}") & (F.length(F.regexp_replace(c, r"\p{Nd}", "")) < 3))
+    valid = F.length(c).between(2, 30) & c.rlike(f"[{tx.CJK}]") & (c.rlike(f"^{tx.DATE}$") | ~(c.isin(*lx.GENERIC_NOUNS) | foreign | digits))
+    for r in df.where("t is not null").select("t", tx.is_valid_mention(c).alias("got"), valid.alias("want")).collect():
+        assert r.got == r.want, r

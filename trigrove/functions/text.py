@@ -82,17 +82,23 @@ def pair_fault(e1: Column, rel: Column, e2: Column) -> Column:
 
 
 def clean_mention(c: Column) -> Column:
-    """Take edge words from the front, then from the back, as often as they stand there."""
+    """Take edge words from the front, then from the back, as often as they stand there.
+
+    What has neither a blank nor an edge word at its ends, as most names, is looked at once.
+    """
     front = trim(F.regexp_replace(trim(c), rf"^(?:(?:{EDGE}){SPACE}*)+", ""))
-    return trim(F.regexp_replace(front, rf"(?:{SPACE}*(?:{EDGE}))+$", ""))
+    return F.when(c.rlike(rf"^(?:{SPACE}|{EDGE})|(?:{SPACE}|{EDGE})$"), trim(F.regexp_replace(front, rf"(?:{SPACE}*(?:{EDGE}))+$", ""))).otherwise(c)
 
 
 def is_valid_mention(c: Column, generic=lx.GENERIC_NOUNS) -> Column:
-    """Whether a mention can be a name: 2 to 30 characters, Chinese, no generic noun, no number in disguise."""
+    """Whether a mention can be a name: 2 to 30 characters, Chinese, no generic noun, no number in disguise.
+
+    Names of Chinese characters alone are no date or number, so the list decides on them.
+    """
     foreign = F.length(F.regexp_replace(c, f"[{CJK}]", ""))
     digits = c.rlike(r"\p{Nd}{3,}") & (F.length(F.regexp_replace(c, r"\p{Nd}", "")) < 3)
     return (
-        F.when(~F.length(c).between(2, 30) | ~c.rlike(f"[{CJK}]"), False).when(c.rlike(f"^{DATE}$"), True).when(c.isin(*generic), False)
+        F.when(c.rlike(f"^[{CJK}]{{2,30}}\\z"), ~c.isin(*generic)).when(~F.length(c).between(2, 30) | ~c.rlike(f"[{CJK}]"), False).when(c.rlike(f"^{DATE}$"), True).when(c.isin(*generic), False)
         .when(c.rlike(r"\p{Nd}{4}") & c.rlike(f"[{CJK}]{{2,}}"), False).when(foreign * 10 > F.length(c) * 7, False).when(digits, False).otherwise(True)
     )
 
