@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from conftest_words import words
@@ -394,3 +395,18 @@ def test_substring_on_odd_rows(odd_docs, no_docs):
     rows = op1.substring_duplicates(odd_docs).collect()
     assert {r.doc_id for r in rows} == {1, 2, 3, None} and {r.class_id for r in rows} == {1}
     assert op1.substring_duplicates(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("places", [0, 10, 300])
+def test_buckets_are_those_of_the_windows_without_their_widths(places, monkeypatch):
+    parts = [np.random.default_rng(k).integers(1, 1 << 62, n, dtype=np.uint64) for k, n in enumerate((places, 46, 47, 500, 46 + places))]
+    whole = pd.concat(op1._chunk_windows(list(range(5)), parts, False))
+    want = sorted(b for _, b in set(zip(whole["tid"], whole["bucket"], strict=True)))
+    monkeypatch.setattr(op1, "compact_windows", None)
+    assert sorted(pd.concat(op1._chunk_windows(list(range(5)), parts, True))["bucket"]) == want
+
+
+@pytest.mark.parametrize("width", [1, 2, 23, 46, 64])
+def test_sliding_minima(width):
+    values = np.random.default_rng(width).integers(0, 1 << 63, 200, dtype=np.uint64)
+    assert op1._sliding_minima(values, width).tolist() == [min(values[k : k + width]) for k in range(201 - width)]
